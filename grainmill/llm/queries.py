@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.language_id import language_id
+from grainmill.llm.partenum import jaccard_join
 from grainmill.llm.quality_rules import quality_rules
 from grainmill.llm.token_file import token_ids
 from grainmill.llm.url_filter import url_filter
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"), words=4, percent=85)[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
@@ -48,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_file, op3_language_id, op8_url_filter, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_token_file, op3_language_id, op5_jaccard_join, op8_url_filter, op9_warc, op10_quality_rules)}
 
 
 def _op8_sql() -> str:
@@ -78,5 +83,18 @@ SELECT page_id, strlen(body) AS payload_bytes,
 FROM p JOIN k USING (hex)"""
 
 
+_OP5_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM t),
+n AS (SELECT doc_id, len(g) AS n, g FROM s),
+x AS (SELECT doc_id, n, unnest(g) AS f FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM x a JOIN x b ON a.f = b.f AND a.doc_id < b.doc_id GROUP BY 1, 2, 3, 4),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) m ON m.a = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": _op8_sql(), "op9_warc": _OP9_SQL}
+    return {"op5_jaccard_join": _OP5_SQL, "op8_url_filter": _op8_sql(), "op9_warc": _OP9_SQL}
