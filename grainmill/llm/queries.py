@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.language_id import language_id
 from grainmill.llm.partenum import jaccard_join
+from grainmill.llm.pii import personal_data
 from grainmill.llm.quality_rules import quality_rules
 from grainmill.llm.token_file import token_ids
 from grainmill.llm.url_filter import url_filter
@@ -27,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_found")
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
@@ -53,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_file, op3_language_id, op5_jaccard_join, op8_url_filter, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op5_jaccard_join, op8_url_filter, op9_warc, op10_quality_rules)}
 
 
 def _op8_sql() -> str:
