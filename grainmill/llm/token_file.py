@@ -42,11 +42,10 @@ def pack(ids: np.ndarray, percentile: float = 0.95) -> bytes:
 def unpack(block: bytes) -> np.ndarray:
     n, low, width, more = _HEAD.unpack_from(block)
     size = -(-n * width // 8)
-    flat = np.unpackbits(np.frombuffer(block, np.uint8, size, _HEAD.size), count=n * width, bitorder="little").reshape(n, width)
-    wide = np.zeros((n, 4), np.uint8)
-    part = np.packbits(flat, axis=1, bitorder="little")
-    wide[:, : part.shape[1]] = part
-    ids = wide.view("<u4").ravel().copy()
+    packed = np.frombuffer(block[_HEAD.size : _HEAD.size + size] + bytes(8), np.uint8)
+    bit = np.arange(n, dtype=np.int64) * width
+    at_byte = np.ndarray((size + 1,), "<u8", packed, strides=(1,))  # eight bytes from each byte on
+    ids = ((at_byte[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
     at = np.frombuffer(block, "<u4", more, _HEAD.size + size)
     ids[at] |= np.frombuffer(block, "<u4", more, _HEAD.size + size + 4 * more) << np.uint32(width)
     return ids + np.uint32(low)
@@ -63,9 +62,10 @@ class Writer:
         self.held = 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append documents: their ids one after another, and how many each has."""
+        self.docs += zip(doc_ids, (self.n_ids + np.cumsum(sizes)).tolist(), strict=True)
         self.n_ids += len(ids)
-        self.docs.append((doc_id, self.n_ids))
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= BLOCK:
@@ -134,7 +134,7 @@ class Reader:
             k = stop
 
 
-def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], *, end_id: int | None = 0, percentile: float = 0.95) -> tuple[str, list[tuple[int, int, int]]]:
+def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], *, end_id: int | None = 0, percentile: float = 0.95) -> tuple[str, list[tuple[int, int, int]]]:
     """Encode every whole text and write it; returns the folder and (part, documents, ids) of each file.
 
     encoder is called once in each Python worker. Null text counts as empty; a null doc_id sorts first; rows that
@@ -150,13 +150,14 @@ def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[list[str]
         part = task.partitionId()
         temporary, final = f"{path}/.part-{part:06d}.{task.taskAttemptId()}", f"{path}/part-{part:06d}.pfor"
         encode = encoder()
-        end = np.array([] if end_id is None else [end_id], np.uint32)
         with fs.open_output_stream(temporary) as out:
             writer = Writer(out, percentile)
             for batch in chunks(batches):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    writer.add(doc_id, np.concatenate((ids, end)))
+                ids, sizes = encode(texts)
+                if end_id is not None:
+                    ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                writer.add(batch.column("doc_id").to_pylist(), ids, sizes)
             writer.close()
         publish(fs, temporary, final)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
@@ -203,7 +204,7 @@ class WordCache:
     SAFE = bytes([10, *range(32, 127), *range(0xC0, 0x100)])
     WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \n]+(?![^ \n])|[ \n]+"""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import re
 
         from tokenizers import Tokenizer
@@ -211,11 +212,15 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split, self.most = re.compile(self.WORD).findall, most
-        self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: byte-level pieces have a character a byte
         for piece, at in vocabulary.items():
             self.sizes[at] = len(piece)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.n = _Numbers(), 0
+        self.flat, self.first, self.length = (np.zeros(0, kind) for kind in (np.uint32, np.int64, np.int64))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -227,27 +232,67 @@ class WordCache:
             return None
         return None if odd else self.split(text)
 
-    def _joined(self, words: list[str]) -> None:
-        """Encode words of a space and letters as one text, which splits into just these words, and cut its ids at their ends."""
-        ids = self.whole(["".join(words)])[0]
-        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[word] = raw[at:end]
-            at = end
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._words(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        fresh = {w for ws in split if ws for w in ws if w not in self.known}
-        plain = [w for w in fresh if w[0] == " " and w[1:].isalpha()]
-        fresh.difference_update(plain)
-        self.known.update(zip(fresh, (ids.tobytes() for ids in self.whole(list(fresh))), strict=True))
-        for k in range(0, len(plain), 2000):
-            self._joined(plain[k : k + 2000])
-        rest = iter(self.whole([t for t, ws in zip(texts, split, strict=True) if ws is None]))
-        return [next(rest) if ws is None else np.frombuffer(b"".join(map(self.known.__getitem__, ws)), np.uint32) for ws in split]
+    def _joined(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words of a space and letters, encoded as texts that split into just these words; and how many each word has."""
+        ids, lengths = self.whole(["".join(words[k : k + 200]) for k in range(0, len(words), 200)]), []
+        for k, own in enumerate(ids):
+            ends = np.cumsum([len(w.encode()) for w in words[200 * k : 200 * k + 200]])
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.sizes[own]), ends) + 1, prepend=0))
+        return ids, np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        plain = np.array([w[0] == " " and w[1:].isalpha() for w in fresh], bool)
+        ids, lengths = self._joined([w for w, p in zip(fresh, plain, strict=True) if p])
+        other = self.whole([w for w, p in zip(fresh, plain, strict=True) if not p])
+        length, first = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        length[plain], length[~plain] = lengths, [len(x) for x in other]
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        first[order] = self.n + np.cumsum(length[order]) - length[order]
+        new = np.concatenate([*ids, *other])
+        if self.n + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.n], new, np.zeros(self.n + len(new), np.uint32)))
+        else:
+            self.flat[self.n : self.n + len(new)] = new
+        self.n += len(new)
+        self.first, self.length = np.concatenate((self.first, first)), np.concatenate((self.length, length))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        if len(self.words) > self.most:
+            self._clear()
+        number, split = self.words.__getitem__, map(self._words, texts)  # a text's words are looked up while they are in the CPU's cache
+        found = [None if ws is None else np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
+        counts = np.array([0 if k is None else len(k) for k in found], np.int64)
+        at = np.concatenate([k for k in found if k is not None] or [np.zeros(0, np.int64)])
+        if fresh := self.words.taken():
+            self._learn(fresh)
+        length = self.length[at]
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        sizes = np.diff(np.append(0, ends)[np.cumsum(counts)], prepend=0)
+        odd = [k for k, words in enumerate(found) if words is None]
+        if not odd:
+            return ids, sizes
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for k, own in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
+            parts[k], sizes[k] = own, len(own)
+        return np.concatenate(parts), sizes
+
+
+class _Numbers(dict):
+    """Words by the number that they get when first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
 
 
 _encoders: dict[str, WordCache] = {}
