@@ -9,6 +9,7 @@ from grainmill.llm.language_id import language_id
 from grainmill.llm.partenum import jaccard_join
 from grainmill.llm.pii import personal_data
 from grainmill.llm.quality_rules import quality_rules
+from grainmill.llm import sentence_piece
 from grainmill.llm.token_file import token_ids
 from grainmill.llm.url_filter import url_filter
 from grainmill.llm.warc import warc
@@ -45,6 +46,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=4, percent=85)[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op5_jaccard_join, op8_url_filter, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op5_jaccard_join, op6_sentence_piece, op8_url_filter, op9_warc, op10_quality_rules)}
 
 
 def _op8_sql() -> str:
