@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.llm.decontaminate import hits
 from grainmill.llm.language_id import language_id
 from grainmill.llm.partenum import jaccard_join
 from grainmill.llm.pii import personal_data
@@ -42,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), words=4, percent=85)[0].select("doc_id", "n_shingles", "component_id")
 
@@ -64,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op5_jaccard_join, op6_sentence_piece, op8_url_filter, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_sentence_piece, op8_url_filter, op9_warc, op10_quality_rules)}
 
 
 def _op8_sql() -> str:
