@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
@@ -84,3 +85,12 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits, with those of a 64-bit column's low bits set. The driver gets at most 2**bits / 8 rows of 8 bytes, whatever the input."""
+    slots = df.select(F.expr(f"pmod({column}, {1 << bits})").cast("int").alias("slot"))
+    table = slots.groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, slot % 8)")).alias("value")).toArrow()
+    marks = np.zeros((1 << bits) // 8, np.uint8)
+    marks[table.column("byte").to_numpy()] = table.column("value").to_numpy()
+    return marks

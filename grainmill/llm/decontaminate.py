@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import chunks, written
+from grainmill.llm.common import bitmap, chunks, written
 from grainmill.llm.words import LOWER, Scan, mix, windows
 
-SIZE, LEAST = 13, 8
+SIZE, LEAST = 10, 8
 #: Units that stand for a placeholder after a number.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "feet", "foot", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons", "pound", "pounds", "ounce", "ounces",
@@ -150,11 +150,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_column: str = "item_id", size:
     The bitmap has 2**bits bits whatever the benchmark's size: a larger benchmark only lets more windows through to the join.
     """
     listed = written(item_windows(items, id_column, size=size, least=least).distinct(), "windows")
-    slots = listed.select(F.expr(f"pmod(key, {1 << bits})").cast("int").alias("slot")).distinct()
-    packed = np.zeros((1 << bits) // 8, np.uint8)
-    marks = slots.groupBy(F.floor(F.col("slot") / 8).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, slot % 8)")).alias("value"))
-    for at in marks.toLocalIterator():  # at most 2**bits / 8 rows
-        packed[at.byte] = at.value
+    packed = bitmap(listed, "key", bits)
     sizes = [r.n for r in listed.select("n").distinct().collect()]
     shared = docs.select("doc_id", "text").mapInArrow(_candidates(packed, sizes), "doc_id long, n int, key long, template string, d_slots array<string>")
     pairs = shared.join(listed, ["key", "n", "template"])

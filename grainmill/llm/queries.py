@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.decontaminate import hits
 from grainmill.llm.language_id import language_id
+from grainmill.llm.line_dedup import line_dedup
 from grainmill.llm.partenum import jaccard_join
 from grainmill.llm.pii import personal_data
 from grainmill.llm.quality_rules import quality_rules
@@ -55,6 +56,16 @@ def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED)
 
@@ -69,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_sentence_piece, op8_url_filter, op9_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_personal_data, op2_token_file, op3_language_id, op4_decontaminate, op5_jaccard_join, op6_sentence_piece, op7_line_dedup, op8_url_filter, op9_warc, op10_quality_rules, pipeline)}
 
 
 def _op8_sql() -> str:
