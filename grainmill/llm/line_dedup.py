@@ -4,12 +4,12 @@ A line is its set of lower-cased words. Lines are ordered by doc_id and place in
 the row); a line is removed if an earlier line, removed itself or not, reaches the Jaccard threshold. Lines of fewer than
 `least` distinct words, blank ones among them, stay and remove nothing.
 
-Equal sets are one class, known by its first line. The words of a class are ordered by rarity: words outside the `common`
-most frequent ones, counted over all documents, come first, the others by rising count. Two sets that reach the threshold
-share a word among their first few (the prefix). Classes that share such a word are candidates if sizes (length
+Equal sets are one class, known by its first line. The words of a class are ordered by rarity, from counts over all
+documents. Two sets that reach the threshold share a word among their first few (the prefix); words that occur once can't
+be it. Classes that share such a word are candidates if sizes (length
 filter), places of the word (positional filter) and a parity sketch of 64 bits, whose differing bits never outnumber the
-differing words, allow it; exact Jaccard on the lines decides. Each class is compared with the first class of each of
-its words' buckets; only classes that are still without an earlier match meet all earlier classes of a bucket, so a
+differing words, allow it; exact Jaccard on the lines decides. In a bucket of more than SMALL classes each is first
+compared with the earliest alone; only classes that are still without an earlier match meet all earlier ones, so a
 group of g near copies costs about g comparisons.
 
 Words are 64-bit hashes. Null texts stay null; a row without a doc_id comes first. Identical rows (doc_id and text) are one
@@ -30,7 +30,7 @@ from grainmill.llm.common import bitmap, chunks, written
 from grainmill.llm.partenum import sets
 from grainmill.llm.words import Scan, mix
 
-LEAST, PERCENT, COMMON = 5, 80, 50_000
+LEAST, PERCENT, RARITY_BITS = 5, 80, 23
 _U = np.uint64
 
 
@@ -42,59 +42,42 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return lists.flatten(), parent, np.arange(len(parent)) - first[parent]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, merged over the task as far as a bound of memory allows."""
-    held, n = [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        words, counts = (np.concatenate([h[i] for h in held]) for i in range(2))
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        start = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        return words[start], np.add.reduceat(counts, start)
-
-    def out() -> pa.RecordBatch:
-        words, counts = merged()
-        return pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": counts})
-
-    for batch in chunks(batches):
-        words = np.sort(Scan(batch.column("text"), lower=True).words())
-        if not len(words):
-            continue
-        start = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        held.append((words[start], np.diff(np.append(start, len(words)))))
-        n += len(start)
-        if n > 3_000_000:
-            held = [merged()]
-            n = len(held[0][0])
-            if n > 1_500_000:
-                yield out()
-                held, n = [], 0
-    if held:
-        yield out()
-
-
-def common_words(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words of all documents, sorted by hash, and the rank of each by rising count. At most `most` rows."""
-    counts = docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    words = np.array([r.word for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], (len(rows) - np.arange(len(rows)))[order].astype(np.uint64)
+def _count(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in chunks(batches):
+            slots = (Scan(batch.column("text"), lower=True).words() & _U((1 << bits) - 1)).astype(np.int64)
+            np.add.at(counts, slots, 1)
+        for at in range(0, 1 << bits, 1 << 18):
+            slot = np.flatnonzero(counts[at : at + (1 << 18)])
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot + at, pa.int32()), "n": counts[slot + at]})
+
+    return run
+
+
+def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
+    """Of each slot of word hashes, how frequent its words are in all documents: 0 none, 1 once, from 2 on eighths of an octave.
+
+    The counts are exact by slot; words that share one look more frequent than they are, which only changes the order
+    (the same for all lines). The driver and each executor hold 2**bits bytes, whatever the input.
+    """
+    counts = docs.select("text").mapInArrow(_count(bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    level = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), 2 + F.floor(8 * F.log2(F.col("n") / 2)))).cast("int")
+    table = counts.select("slot", level.alias("level")).toArrow()  # at most 2**bits rows
+    levels = np.zeros(1 << bits, np.uint8)
+    levels[table.column("slot").to_numpy()] = table.column("level").to_numpy()
+    return levels
 
 
 class Lines:
     """The classes of the lines of a batch: of each line row, place, size, class, sketch; and its words in order of rarity."""
 
-    def __init__(self, column: pa.Array, common: tuple[np.ndarray, np.ndarray], least: int):
+    def __init__(self, column: pa.Array, levels: np.ndarray, least: int):
         lines, parent, place = split_lines(column)
         scan = Scan(lines, lower=True)
         words, owner = scan.words(), scan.doc
-        known, rank = common
-        at = np.searchsorted(known, words)
-        at[at == len(known)] = 0
-        order = np.where(known[at] == words, rank[at], _U(0)) if len(known) else np.zeros(len(words), np.uint64)
-        key = (order << _U(47)) | (words >> _U(17))
+        level = levels[(words & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
+        key = (level << _U(56)) | (words >> _U(8))
         by = np.lexsort((key, owner))
         owner, key, words = owner[by], key[by], words[by]
         new = np.ones(len(owner), bool)
@@ -112,108 +95,125 @@ class Lines:
         self.first = np.cumsum(self.size) - self.size
 
 
-def _measure(common, least: int, percent: int):
+def _measure(shared, least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in chunks(batches):
-            x = Lines(batch.column("text"), common, least)
+            x = Lines(batch.column("text"), levels, least)
             use = np.flatnonzero(x.used)
             length = x.size[use] - (percent * x.size[use] + 99) // 100 + 1
             ends = np.cumsum(length)
-            keys = x.key[np.repeat(x.first[use] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+            at = np.arange(ends[-1] if len(ends) else 0)
+            keys = x.key[np.repeat(x.first[use] - ends + length, length) + at]
+            keep = keys >> _U(56) > _U(1)  # no other line has a word that occurs once
+            which, spot = np.repeat(np.arange(len(use)), length)[keep], (at - np.repeat(ends - length, length) + 1)[keep]
+            keys, ends = keys[keep], np.cumsum(np.bincount(which, minlength=len(use)))
             rows = pa.array(x.parent[use])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").take(rows), "row": batch.column("row").take(rows), "place": pa.array(x.place[use], pa.int32()), "cls": x.cls[use],
                     "n": pa.array(x.size[use], pa.int32()), "sketch": x.sketch[use],
-                    "prefix": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.view(np.int64))),
+                    "prefix": pa.ListArray.from_arrays(bounds := pa.array(np.append(0, ends), pa.int32()), pa.array(keys.view(np.int64))),
+                    "spots": pa.ListArray.from_arrays(bounds, pa.array(spot, pa.int32())),
                 }
             )
 
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by word, those whose word two classes or more have."""
-    held = None
-    for batch in batches:
-        word, cls = (batch.column(k).to_numpy() for k in range(2))
-        if held is not None:
-            word, cls = np.concatenate((held[0], word)), np.concatenate((held[1], cls))
-        if not len(word):
-            continue
-        cut = int(np.searchsorted(word, word[-1]))
-        held = word[cut:], cls[cut:]
-        if cut:
-            yield _many(word[:cut], cls[:cut])
-    if held is not None:
-        yield _many(*held)
-
-
-def _many(word: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    same = word[1:] == word[:-1]
-    out = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    return pa.RecordBatch.from_pydict({"word": word[out], "cls": cls[out]})
-
-
-def _allowed(n, at, sketch, i, j, percent: int) -> np.ndarray:
-    """Which pairs (i one place, j many) the length, positional and sketch filters let through."""
-    total = n[i] + n[j]
+SMALL = 64
+_ROW = ("word", "id", "shape", "sketch")  # shape: size and place of the word, 32 bits each
+
+
+def _allowed(n, at, m, to, differ, percent: int) -> np.ndarray:
+    """Which pairs of sizes n, m with the word at these places (from 1) the length, positional and sketch filters let through."""
+    total = n + m
     need = -(-percent * total // (100 + percent))
-    fit = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) >= need  # at counts from 1
-    fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-    return fit & (np.bitwise_count(sketch[i] ^ sketch[j]) <= total - 2 * need)
-
-
-def _pairs(percent: int, all_: bool):
-    """Candidate pairs (earlier, later) of each bucket; rows sorted by word, doc_id, row, place. all_: of the open classes with
-    all earlier ones but the first, else of every class with the first."""
-
-    def of(cls, n, at, sketch, open_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not all_:
-            j = np.arange(1, len(cls))
-            j = j[_allowed(n, at, sketch, 0, j, percent)]
-            yield np.full(len(j), cls[0]), cls[j]
-            return
-        for i in np.flatnonzero(open_).tolist():
-            for a in range(1, i, 200_000):
-                j = np.arange(a, min(a + 200_000, i))
-                j = j[_allowed(n, at, sketch, i, j, percent)]
-                yield cls[j], np.full(len(j), cls[i])
+    fit = 1 + np.minimum(n - at, m - to) >= need
+    return fit & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.bitwise_count(differ.view(np.uint64)) <= total - 2 * need)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Whole buckets, of rows sorted by word."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        parts = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+        held = parts if held is None else [np.concatenate(x) for x in zip(held, parts, strict=True)]
+        if len(held[0]) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _near(percent: int):
+    """Candidate pairs (a, b), a the earlier, of buckets sorted by word and id: all pairs of a small bucket, the first with each
+    other of a large one. The rows of large buckets come out too, with word not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        for word, id_, shape, sketch in _runs(batches, _ROW):
+            n, at = shape >> 32, shape & 0xFFFFFFFF
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            length = np.diff(np.append(start, len(word)))
+            large = np.repeat(length > SMALL, length)
+            first = np.repeat(start, length)[large]
+            rest = np.flatnonzero(large)
+            i, j = first[first < rest], rest[first < rest]
+            ok = _allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)
+            found = [(id_[i[ok]], id_[j[ok]])]
+            left = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL), length))
+            for step in range(1, SMALL):
+                left = left[left + step < len(word)]
+                left = left[word[left] == word[left + step]]
+                if not len(left):
+                    break
+                i, j = left, left + step
+                ok = _allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)
+                found.append((id_[i[ok]], id_[j[ok]]))
+            a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+            pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], ["a", "b", "word", "shape", "sketch"])
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.array(id_[rest]), pa.nulls(len(rest), pa.int64()), *(pa.array(x[rest]) for x in (word, shape, sketch))], ["a", "b", "word", "shape", "sketch"])
+
+    return run
+
 
-        def done(parts: list[np.ndarray]) -> pa.RecordBatch:
-            word, cls, n, at, sketch, open_ = parts
-            cuts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
-            found = [p for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for p in of(cls[a:b], n[a:b], at[a:b], sketch[a:b].view(np.uint64), open_[a:b])]
+def _rest(percent: int):
+    """Candidate pairs of the open rows of a bucket with all earlier ones but the first; rows sorted by word and id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for word, id_, shape, sketch, open_ in _runs(batches, (*_ROW, "open")):
+            n, at = shape >> 32, shape & 0xFFFFFFFF
+            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            first = np.repeat(start, np.diff(np.append(start, len(word))))
+            found = []
+            for i in np.flatnonzero(open_).tolist():
+                for k in range(first[i] + 1, i, 200_000):
+                    j = np.arange(k, min(k + 200_000, i))
+                    j = j[_allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)]
+                    found.append((id_[j], np.full(len(j), id_[i])))
             none = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_pydict({"a": np.concatenate([none, *(p[0] for p in found)]), "b": np.concatenate([none, *(p[1] for p in found)])})
-
-        for batch in batches:
-            parts = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("word", "cls", "n", "at", "sketch", "open")]
-            held = parts if held is None else [np.concatenate(x) for x in zip(held, parts, strict=True)]
-            if len(held[0]):
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield done([x[:cut] for x in held])
-                    held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield done(held)
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate([none, *(f[0] for f in found)]), "b": np.concatenate([none, *(f[1] for f in found)])})
 
     return run
 
 
-def _texts(least: int, marks: np.ndarray):
-    """(cls, line) of the lines whose class the bitmap has."""
-    mask = _U(len(marks) * 8 - 1)
+def _marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.uint64) & _U(len(marks) * 8 - 1)
+    return (marks[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1) > 0
+
+
+def _texts(least: int, shared):
+    """(cls, line) of the lines whose row and class the bitmaps have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        rows, marks = shared.value
+        for batch in chunks(b.filter(pa.array(_marked(rows, b.column("row").to_numpy()))) for b in batches):
             lines, _, _ = split_lines(batch.column("text"))
             _, _, size, cls = _classes(lines)
-            slot = cls.view(np.uint64) & mask
-            hit = (size >= least) & ((marks[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1) > 0)
+            hit = (size >= least) & _marked(marks, cls)
             hit[np.flatnonzero(hit)] = np.isin(np.arange(int(hit.sum())), np.unique(cls[hit], return_index=True)[1])
             yield pa.RecordBatch.from_pydict({"cls": cls[hit], "line": lines.filter(pa.array(hit)).cast(pa.string())})
 
@@ -248,29 +248,28 @@ def _verify(percent: int):
     return run
 
 
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST, common: int = COMMON, bits: int = 24) -> DataFrame:
+def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST, rarity_bits: int = RARITY_BITS, bits: int = 24) -> DataFrame:
     """doc_id, row (a hash of the row) and removed, the places of its removed lines, of every document that loses lines."""
     texts = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    known = common_words(docs, common)
-    schema = "doc_id long, row long, place int, cls long, n int, sketch long, prefix array<long>"
+    known = docs.sparkSession.sparkContext.broadcast(rarity(docs, rarity_bits))
+    schema = "doc_id long, row long, place int, cls long, n int, sketch long, prefix array<long>, spots array<int>"
     lines = written(texts.mapInArrow(_measure(known, least, percent), schema), "lines")
     first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    firsts = written(lines.groupBy("cls").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = firsts.select(F.explode("prefix").alias("word"), "cls").repartition(parts, "word").sortWithinPartitions("word")
-    members = slim.mapInArrow(_buckets, "word long, cls long")
-    members = members.join(firsts, "cls").select("word", "cls", "first", "n", F.array_position("prefix", F.col("word")).cast("int").alias("at"), "sketch")
-    members = written(members, "members")
-
-    def sorted_(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "word").sortWithinPartitions("word", "first").select("word", "cls", "n", "at", "sketch", "open")
-
-    star = written(sorted_(members.withColumn("open", F.lit(True))).mapInArrow(_pairs(percent, False), "a long, b long").distinct(), "pairs")
-    matched = written(_confirmed(docs, star, least, percent, bits).distinct(), "matched")
-    held = members.join(matched.select(F.col("b").alias("cls"), F.lit(False).alias("no")), "cls", "left").withColumn("open", F.col("no").isNull())
-    wanted = held.groupBy("word").agg(F.bool_or("open").alias("any")).filter("any").select("word")
-    more = written(sorted_(held.join(wanted, "word", "left_semi")).mapInArrow(_pairs(percent, True), "a long, b long").distinct(), "pairs")
-    matched = matched.unionByName(_confirmed(docs, more, least, percent, bits)).distinct().withColumnRenamed("b", "cls")
+    firsts = lines.groupBy("cls").agg(first, *(F.first(c).alias(c) for c in ("n", "sketch", "prefix", "spots")))
+    # ids that rise with the first line of each class: partitions of a range exchange are in order, and so are rows within
+    firsts = firsts.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    firsts = written(firsts, "classes")
+    each = firsts.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "sketch", F.explode(F.arrays_zip("prefix", "spots")).alias("p"))
+    each = each.select(F.col("p.prefix").alias("word"), "id", (F.col("n") + F.col("p.spots")).alias("shape"), "sketch")
+    near = each.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_near(percent), "a long, b long, word long, shape long, sketch long")
+    near = written(near, "pairs")
+    matched = written(_confirmed(texts, near.filter("word is null").select("a", "b").distinct(), firsts, least, percent, bits).distinct(), "matched")
+    large = near.filter("word is not null").select("word", F.col("a").alias("id"), "shape", "sketch")
+    large = large.join(matched.select(F.col("b").alias("id"), F.lit(False).alias("no")), "id", "left").withColumn("open", F.col("no").isNull()).select(*_ROW, "open")
+    more = written(large.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_rest(percent), "a long, b long").distinct(), "pairs")
+    matched = matched.unionByName(_confirmed(texts, more, firsts, least, percent, bits)).distinct().withColumnRenamed("b", "id")
+    matched = matched.join(firsts.select("id", "cls"), "id").select("cls")
     # a line goes if it isn't the first of its class, or if an earlier class matches
     gone = lines.select("doc_id", "row", "place", "cls").join(firsts.select("cls", "first"), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
     here = F.struct("doc_id", "row", "place")
@@ -278,13 +277,14 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("removed"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, least: int, percent: int, bits: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, percent: int, bits: int) -> DataFrame:
     """b of the pairs that reach the threshold on their lines' words."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    marks = bitmap(wanted, "cls", bits)
-    lines = docs.select("text").mapInArrow(_texts(least, marks), "cls long, line string").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("line").alias("line"))
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "cls", F.col("first.row").alias("row")), "id"), "wanted")
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "cls", bits)))
+    found = texts.select("row", "text").mapInArrow(_texts(least, shared), "cls long, line string")
+    lines = found.join(wanted.select("id", "cls"), "cls").groupBy("id").agg(F.first("line").alias("line"))
     lines = written(lines, "texts")
-    one, two = (lines.select(F.col("cls").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    one, two = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").select("b", "line_a", "line_b").mapInArrow(_verify(percent), "b long")
 
 
