@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, written
-from grainmill.llm.partenum import sets
+from grainmill.llm.common import bitmap, chunks, dropped, written
+from grainmill.llm.partenum import SKETCH_BITS, plausible, sets, sketches
 from grainmill.llm.words import Scan, mix
 
 LEAST, PERCENT, RARITY_BITS = 5, 80, 23
@@ -121,7 +121,7 @@ def _measure(shared, least: int, percent: int):
     return run
 
 
-SMALL = 64
+SMALL = 512
 _ROW = ("word", "id", "shape", "sketch")  # shape: size and place of the word, 32 bits each
 
 
@@ -212,10 +212,13 @@ def _texts(least: int, shared):
         rows, marks = shared.value
         for batch in chunks(b.filter(pa.array(_marked(rows, b.column("row").to_numpy()))) for b in batches):
             lines, _, _ = split_lines(batch.column("text"))
-            _, _, size, cls = _classes(lines)
+            owner, words, size, cls = _classes(lines)
             hit = (size >= least) & _marked(marks, cls)
             hit[np.flatnonzero(hit)] = np.isin(np.arange(int(hit.sum())), np.unique(cls[hit], return_index=True)[1])
-            yield pa.RecordBatch.from_pydict({"cls": cls[hit], "line": lines.filter(pa.array(hit)).cast(pa.string())})
+            order = np.cumsum(hit) - 1
+            mine = hit[owner]
+            drawn = sketches(order[owner[mine]], words[mine], int(hit.sum()), SKETCH_BITS)
+            yield pa.RecordBatch.from_pydict({"cls": cls[hit], "n": size[hit], "sketch": pa.array(drawn, pa.binary()), "line": lines.filter(pa.array(hit)).cast(pa.string())})
 
     return run
 
@@ -264,28 +267,34 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     each = each.select(F.col("p.prefix").alias("word"), "id", (F.col("n") + F.col("p.spots")).alias("shape"), "sketch")
     near = each.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_near(percent), "a long, b long, word long, shape long, sketch long")
     near = written(near, "pairs")
-    matched = written(_confirmed(texts, near.filter("word is null").select("a", "b").distinct(), firsts, least, percent, bits).distinct(), "matched")
+    slim = written(lines.select("doc_id", "row", "place", "cls"), "lines")
+    dropped(docs.sparkSession, lines)
+    matched = _confirmed(texts, near.filter("word is null").select("a", "b").distinct(), firsts, least, percent, bits)
     large = near.filter("word is not null").select("word", F.col("a").alias("id"), "shape", "sketch")
     large = large.join(matched.select(F.col("b").alias("id"), F.lit(False).alias("no")), "id", "left").withColumn("open", F.col("no").isNull()).select(*_ROW, "open")
     more = written(large.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_rest(percent), "a long, b long").distinct(), "pairs")
     matched = matched.unionByName(_confirmed(texts, more, firsts, least, percent, bits)).distinct().withColumnRenamed("b", "id")
+    dropped(docs.sparkSession, near)
     matched = matched.join(firsts.select("id", "cls"), "id").select("cls")
     # a line goes if it isn't the first of its class, or if an earlier class matches
-    gone = lines.select("doc_id", "row", "place", "cls").join(firsts.select("cls", "first"), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
+    gone = slim.join(firsts.select("cls", "first"), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
     here = F.struct("doc_id", "row", "place")
     gone = gone.filter(F.col("hit").isNotNull() | ~here.eqNullSafe(F.col("first"))).select("doc_id", "row", "place").distinct()
     return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("removed"))
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, percent: int, bits: int) -> DataFrame:
-    """b of the pairs that reach the threshold on their lines' words."""
+    """b of the pairs that reach the threshold: on sketches first, then on their lines' words."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "cls", F.col("first.row").alias("row")), "id"), "wanted")
     shared = texts.sparkSession.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "cls", bits)))
-    found = texts.select("row", "text").mapInArrow(_texts(least, shared), "cls long, line string")
-    lines = found.join(wanted.select("id", "cls"), "cls").groupBy("id").agg(F.first("line").alias("line"))
+    found = texts.select("row", "text").mapInArrow(_texts(least, shared), "cls long, n long, sketch binary, line string")
+    lines = found.join(wanted.select("id", "cls"), "cls").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "line")))
     lines = written(lines, "texts")
+    pairs = written(plausible(pairs, lines.withColumnRenamed("id", "c"), percent), "pairs")
     one, two = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("b", "line_a", "line_b").mapInArrow(_verify(percent), "b long")
+    out = written(pairs.join(one, "a").join(two, "b").select("b", "line_a", "line_b").mapInArrow(_verify(percent), "b long").distinct(), "matched")
+    dropped(texts.sparkSession, wanted, lines, pairs)
+    return out
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,6 +187,20 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of known(c, n, sketch) don't rule out, before any text is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size = [batch.column(k).to_numpy() for k in ("n_a", "n_b")]
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("sketch_a", "sketch_b"))
+                yield batch.filter(pa.array(np.bitwise_count(one ^ two).sum(-1) <= _bound(*size, percent))).select(["a", "b"])
+
+    one, two = (known.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text_a"):
@@ -242,7 +256,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple
 
     shared = members.filter("c <> leader").groupBy("c", "leader").count()
     star = shared.groupBy("c").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")).select("a", F.col("c").alias("b"))
-    links = decided(written(star, "pairs"))
+    links = decided(written(plausible(star, known, percent), "pairs"))
     labels = written(components(links), "labels")
     plain = members.select("sig", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label"))
     open_ = plain.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
