@@ -21,9 +21,9 @@ def _c(*parts: Column | str) -> Column:
 
 
 def _json(c: Column) -> Column:
-    """A string as JSON text."""
+    """A string as JSON text; null stays null."""
     quoted = F.to_json(F.array(c))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(c.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def _arguments(c: Column) -> Column:

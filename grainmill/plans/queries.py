@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.operators import clean, decontaminate, dedup, filters, quality, stats, templates, tokens
+from grainmill.operators import clean, convert, decontaminate, dedup, documents, filters, generate, quality, stats, templates, tokens
 from grainmill.operators import vocabulary as V
-from grainmill.schema import from_documents, from_turns
+from grainmill.schema import MESSAGES, from_documents, from_turns
+from grainmill.sources.export import Export, rows
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,75 @@ def quality_label_agreement(spark, sf_dir):
     return quality.analyze(_documents(spark, sf_dir)).join(labels, "id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
+def text_chunks(spark, sf_dir):
+    return documents.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def qa_pairs(spark, sf_dir):
+    """Pairs of the conversations written as Q: and A: lines."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role <> 'system'")
+    line = F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), "text")
+    docs = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    return documents.question_answers(docs, "conv_id")
+
+
+def _raw(spark, sf_dir, **fields):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("seq"), F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("raw"))
+
+
+def _converted(raw):
+    good, _ = convert.convert(raw)
+    return good.select("seq", "type", F.size("messages").alias("n"), F.md5(F.array_join(F.transform(F.concat("messages", F.coalesce("chosen", F.expr(f"cast(array() as {MESSAGES})")), F.coalesce("rejected", F.expr(f"cast(array() as {MESSAGES})")), F.coalesce("completion", F.expr(f"cast(array() as {MESSAGES})"))), lambda m: F.concat_ws("|", m["role"], m["content"])), "~")).alias("said"), "label")
+
+
+def convert_alpaca(spark, sf_dir):
+    return _converted(_raw(spark, sf_dir, instruction=F.lit("Continue."), input=F.left("text", F.lit(50)), output=F.col("text"), system=F.col("lang")))
+
+
+def convert_dpo(spark, sf_dir):
+    return _converted(_raw(spark, sf_dir, prompt=F.col("source"), chosen=F.col("text"), rejected=F.lit("no")))
+
+
+def convert_kto(spark, sf_dir):
+    return _converted(_raw(spark, sf_dir, prompt=F.col("source"), completion=F.col("text"), label=F.col("doc_id") % 2 == 0))
+
+
+def convert_sharegpt(spark, sf_dir):
+    turn = lambda who, said: F.struct(F.lit(who).alias("from"), said.alias("value"))
+    return _converted(_raw(spark, sf_dir, conversations=F.array(turn("human", F.col("source")), turn("gpt", F.col("text"))), system=F.col("lang")))
+
+
+def detect_formats(spark, sf_dir):
+    """Rows of each layout among documents that take turns in four of them."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id") % 4
+    raw = (
+        F.when(k == 0, F.to_json(F.struct(F.col("source").alias("prompt"), F.col("text").alias("output")))).when(k == 1, F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))))
+        .when(k == 2, F.to_json(F.struct("text"))).otherwise(F.to_json(F.struct("lang", "source")))
+    )
+    return d.select(convert.classify(raw).alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _export(framework: str):
+    def run(spark, sf_dir):
+        return rows(_conversations(spark, sf_dir), Export(framework)).select("id", F.md5("line").alias("line"))
+
+    run.__name__ = "export_" + framework.replace("-", "_")
+    return run
+
+
+def llm_judge_fake(spark, sf_dir):
+    """Verdicts of a deterministic stand-in for a model."""
+
+    def chat(messages):
+        marks = [len(messages[0]["content"]) // k % 10 + 1 for k in (1, 3, 7)]
+        return '```json\n{"helpfulness": %d, "correctness": %d, "clarity": %d, "verdict": "pass"}\n```' % tuple(marks)
+
+    requests = generate.judge_requests(_conversations(spark, sf_dir))
+    return generate.judged(requests, generate.run_batch(requests, chat))
+
+
 def _render(family: str):
     def run(spark, sf_dir):
         return _conversations(spark, sf_dir).select("id", F.md5(templates.render(F.col("messages"), family)).alias("rendered"))
@@ -128,14 +198,16 @@ def _render(family: str):
 
 
 RENDER = [_render(f) for f in V.CONTROL_TOKENS]
+EXPORT = [_export(f) for f in ("canonical", "axolotl", "trl", "llama-factory", "ms-swift", "openai-ft", "alpaca", "sharegpt")]
 
 
 def queries() -> dict:
     plain = (
         conv_quality_scores, conv_quality_summary, conv_issue_counts, doc_issue_counts, conv_role_counts, conv_overview, split_counts, split_members, filter_search_page, token_estimates,
         token_histogram, exact_dup_groups, exact_dup_kept, near_dup_pairs, near_dup_groups, decontam_hits, pii_flags, pii_masked, refusal_flags, clean_whitespace, clean_all, quality_label_agreement,
+        text_chunks, qa_pairs, convert_alpaca, convert_dpo, convert_kto, convert_sharegpt, detect_formats, llm_judge_fake,
     )
-    return {f.__name__: f for f in (*plain, *RENDER)}
+    return {f.__name__: f for f in (*plain, *RENDER, *EXPORT)}
 
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -260,6 +332,17 @@ SELECT doc_id::VARCHAR AS id, 'benchmark' AS benchmark, arg_min(gram, pos) AS gr
         "clean_whitespace": f"SELECT doc_id::VARCHAR AS id, md5({_squeezed('text')}) AS cleaned FROM documents",
         "clean_all": f"SELECT id, cleaned <> text AS changed, md5(cleaned) AS cleaned FROM (SELECT doc_id::VARCHAR AS id, text, {_squeezed(_masked(_fixed('text')))} AS cleaned FROM documents)",
     }
+    said = "SELECT doc_id AS seq, '{0}' AS type, {1}::INT AS n, md5({2}) AS said, {3}::BOOLEAN AS label FROM documents WHERE regexp_matches(text, '\\S')"
+    out |= {
+        "convert_alpaca": said.format("sft", 3, "'system|' || lang || '~user|Continue.' || chr(10) || substr(text, 1, 50) || '~assistant|' || text", "NULL"),
+        "convert_dpo": said.format("preference", 1, "'user|' || source || '~assistant|' || text || '~assistant|no'", "NULL"),
+        "convert_kto": said.format("kto", 1, "'user|' || source || '~assistant|' || text", "(doc_id % 2 = 0)"),
+        "convert_sharegpt": said.format("sft", 3, "'system|' || lang || '~user|' || source || '~assistant|' || text", "NULL"),
+        "detect_formats": "SELECT CASE doc_id % 4 WHEN 0 THEN 'alpaca' WHEN 1 THEN 'openai-messages' WHEN 2 THEN 'text' END AS format, count(*) AS n FROM documents GROUP BY 1",
+        "export_alpaca": "SELECT id, md5('{' || coalesce('\"system\":' || to_json(sys) || ',', '') || '\"instruction\":' || to_json(coalesce(usr, '')) || ',\"output\":' || to_json(coalesce(ast, '')) || '}') AS line FROM (SELECT conv_id::VARCHAR AS id, arg_min(text, turn) FILTER (role = 'system') AS sys, arg_min(text, turn) FILTER (role = 'user') AS usr, arg_min(text, turn) FILTER (role = 'assistant') AS ast FROM conversations GROUP BY 1)",
+        "export_sharegpt": "SELECT conv_id::VARCHAR AS id, md5('{\"conversations\":[' || string_agg('{\"from\":\"' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || '\",\"value\":' || to_json(text) || '}', ',' ORDER BY turn) || ']}') AS line FROM conversations GROUP BY 1",
+        **{f"export_{f}": "SELECT conv_id::VARCHAR AS id, md5('{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"content\":' || to_json(text) || '}', ',' ORDER BY turn) || ']}') AS line FROM conversations GROUP BY 1" for f in ("canonical", "axolotl", "trl", "llama_factory", "ms_swift", "openai_ft")},
+    }
     plain = {
         "chatml": ("'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)", "''"),
         "llama3": ("'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>'", "'<|begin_of_text|>'"),
