@@ -74,7 +74,7 @@ class Package:
         tail_at = max(0, size - (_END.size + FULL16))
         tail = self.range(tail_at, size - tail_at)
         end = tail.rfind(b"PK\5\6")
-        while end >= 0 and end + _END.size + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + _END.size > len(tail) or end + _END.size + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(b"PK\5\6", 0, end)
         if end < 0:
             raise ValueError("not a ZIP file")
