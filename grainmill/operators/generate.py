@@ -101,7 +101,7 @@ def judged(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
     out = requests.select("id", "key").join(answers.select("key", parsed("answer").alias("p")), "key").select("id", "p.*")
     mean = (F.col("helpfulness") + F.col("correctness") + F.col("clarity")) / 3
-    return out.withColumn("score", F.least(F.lit(100), F.floor(mean * 10 + 0.5)).cast("int"))
+    return out.withColumn("score", F.when(mean.isNotNull(), F.least(F.lit(100), F.floor(mean * 10 + 0.5))).cast("int"))
 
 
 def prompt_portion(messages: Column) -> Column:
