@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code handles at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def bounded(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers batches of at most so many rows; the default of 10,000 long texts takes tens of MB several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)))))
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -94,3 +100,9 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     marks = np.zeros((1 << bits) // 8, np.uint8)
     marks[table.column("byte").to_numpy()] = table.column("value").to_numpy()
     return marks
+
+
+def marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values a bitmap has; it may have others too, but misses none."""
+    slot = values.view(np.uint64) & np.uint64(len(marks) * 8 - 1)
+    return (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) > 0

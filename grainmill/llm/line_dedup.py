@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, dropped, written
+from grainmill.llm.common import bitmap, chunks, dropped, marked, written
 from grainmill.llm.partenum import SKETCH_BITS, plausible, sets, sketches
 from grainmill.llm.words import Scan, mix
 
@@ -44,13 +44,13 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in chunks(batches):
             slots = (Scan(batch.column("text"), lower=True).words() & _U((1 << bits) - 1)).astype(np.int64)
             np.add.at(counts, slots, 1)
         for at in range(0, 1 << bits, 1 << 18):
             slot = np.flatnonzero(counts[at : at + (1 << 18)])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot + at, pa.int32()), "n": counts[slot + at]})
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot + at, pa.int32()), "n": counts[slot + at].astype(np.int64)})
 
     return run
 
@@ -200,20 +200,15 @@ def _rest(percent: int):
     return run
 
 
-def _marked(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values.view(np.uint64) & _U(len(marks) * 8 - 1)
-    return (marks[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1) > 0
-
-
 def _texts(least: int, shared):
     """(cls, line) of the lines whose row and class the bitmaps have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = shared.value
-        for batch in chunks(b.filter(pa.array(_marked(rows, b.column("row").to_numpy()))) for b in batches):
+        for batch in chunks(b.filter(pa.array(marked(rows, b.column("row").to_numpy()))) for b in batches):
             lines, _, _ = split_lines(batch.column("text"))
             owner, words, size, cls = _classes(lines)
-            hit = (size >= least) & _marked(marks, cls)
+            hit = (size >= least) & marked(marks, cls)
             hit[np.flatnonzero(hit)] = np.isin(np.arange(int(hit.sum())), np.unique(cls[hit], return_index=True)[1])
             order = np.cumsum(hit) - 1
             mine = hit[owner]

@@ -14,7 +14,7 @@ a group of g near copies costs about g comparisons and no link between different
 
 Features are 64-bit hashes of word windows, and a class is known by a 64-bit hash of its set.
 
-Null, empty and blank texts have an empty set and no links. A row without a doc_id has no links but to equal sets. Rows that repeat a doc_id are documents of their own. An
+Null, empty and blank texts have an empty set and no links. A class whose rows all lack a doc_id has no component_id of its own. Rows that repeat a doc_id are documents of their own. An
 empty table gives an empty result; columns other than doc_id and text are ignored, or by keep_one() kept as they are.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import chunks, written
+from grainmill.llm.common import bitmap, chunks, marked, written
 from grainmill.llm.graphs import components
 from grainmill.llm.words import Scan, mix, shingles
 
@@ -39,14 +39,27 @@ _SEED = np.random.default_rng(5).integers(1, 2**63, 4, dtype=np.uint64)
 class Bands:
     """The instances for a threshold in percent."""
 
-    def __init__(self, percent: int, most: int = 1 << 40):
+    def __init__(self, percent: int, most: int = 1 << 33):
         self.percent = percent
         edges = [1]
         while edges[-1] < most:
             edges.append(max(edges[-1] + 1, int(edges[-1] * RATIO)))
         self.edges = np.array(edges, np.int64)
         self.k = 2 * (self.edges[1:] - 1) * (100 - percent) // (100 + percent)  # features in which two sets of an instance may differ
-        self.parts = self.k + 1 + (self.k + 32) // 33 + np.where(self.k > 0, 2, 0)
+        self.parts = np.array([self._parts(int(k), int(e) * percent / 100) for k, e in zip(self.k, self.edges[:-1], strict=True)], np.int64)
+
+    @staticmethod
+    def _parts(k: int, least: float) -> int:
+        """The fewest parts that leave sets of the least size more than k non-empty ones, by three standard deviations where that can be."""
+        if k == 0:
+            return 1
+        m = k + 1
+        while m < 3 * k + 3:
+            empty = np.exp(-least / m)
+            if m * (1 - empty) - 3 * np.sqrt(m * empty * (1 - (1 + least / m) * empty)) > k:
+                break
+            m += max(1, m // 200)
+        return m
 
     def instances(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each size: the first and last instance."""
@@ -226,29 +239,39 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple
 
     measured = written(texts.mapInArrow(measure, "doc_id long, n_shingles long, c long"), "sets")
     classes = measured.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    firsts = classes.select(F.col("least").alias("doc_id")).distinct()
-    repeated = texts.join(firsts, "doc_id", "left_semi")  # a document of every class
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task signs a class once, so copies don't fill the exchange
         for batch in chunks(batches):
             owner, features, size, key = sets(batch.column("text"), words)
-            row, signs = signatures(owner, features, size, bands)
+            new = np.zeros(len(key), bool)
+            for k, c in enumerate(key.tolist()):
+                if c not in seen:
+                    seen.add(c)
+                    new[k] = True
+            if len(seen) > 1_000_000:
+                seen.clear()
+            mine = new[owner]
+            row, signs = signatures(owner[mine], features[mine], np.where(new, size, 0), bands)
             for at in range(0, len(row), 200_000):
                 yield pa.RecordBatch.from_pydict({"sig": signs[at : at + 200_000].view(np.int64), "c": key[row[at : at + 200_000]]})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = repeated.mapInArrow(sign, "sig long, c long").repartition(n, "sig").sortWithinPartitions("sig", "c")
+    signed = texts.mapInArrow(sign, "sig long, c long").repartition(n, "sig").sortWithinPartitions("sig", "c")
     members = written(signed.mapInArrow(_runs, "sig long, c long, leader long"), "buckets")
 
+    wanted = members.select("c").distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(classes.join(wanted, "c", "left_semi").select(F.xxhash64("least").alias("row")), "row", 24))
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        rows = (b.filter(pa.array(marked(marks.value, b.column("row").to_numpy()))) for b in batches)
+        for batch in chunks(rows):
             owner, features, size, key = sets(batch.column("text"), words)
             drawn = sketches(owner, features, batch.num_rows, SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size, pa.int64()), pa.array(drawn, pa.binary()), batch.column("text")], ["c", "n", "sketch", "text"])
 
-    wanted = classes.join(members.select("c").distinct(), "c", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    drawn = texts.join(wanted, "doc_id", "left_semi").mapInArrow(draw, "c long, n long, sketch binary, text string")
-    known = written(drawn.dropDuplicates(["c"]), "candidates")
+    drawn = texts.select(F.xxhash64("doc_id").alias("row"), "text").mapInArrow(draw, "c long, n long, sketch binary, text string")
+    known = written(drawn.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "candidates")
 
     def decided(pairs: DataFrame) -> DataFrame:
         one, two = (known.select(F.col("c").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
