@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.llm.common import bounded
 from grainmill.llm.decontaminate import hits
 from grainmill.llm.language_id import language_id
 from grainmill.llm.line_dedup import line_dedup
@@ -22,6 +23,7 @@ URL_BLOCKED = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "cas
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
