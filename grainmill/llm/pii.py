@@ -6,7 +6,12 @@ the seeds. The words around a seed make lexical patterns, and all identifier-lik
 are instances: edges of a pattern-instance graph. In each round a (pattern, kind) scores the share of its distinct
 instances that are known to be of the kind; those with support and confidence are trusted, an unknown instance scores
 1 - prod(1 - confidence) over the trusted patterns it stands in, and accepted instances count as known in the next
-round. At last every occurrence of an accepted identifier is a span of its kind.
+round, until a round accepts nothing new. At last every occurrence of an accepted identifier is a span of its kind, with
+or without words before it: two words since the match before are needed only to learn and score patterns.
+
+An instance is a token without blanks or, for numbers written in groups ('555 123 4567'), several tokens between spaces.
+No kind has more than MOST digits, so groups are joined up to these. A whole run of groups, none of which could be a
+number on its own, is learned and scored as one instance; any part of a run can be an occurrence.
 
 Regular expressions are possessive or anchored at the start of a run, so no text makes them quadratic, and positions
 are summed in groups. Null text counts as empty. Rows that repeat a doc_id and text get equal rows; an empty table
@@ -31,7 +36,9 @@ BASE = {
 #: What a text must hold for the pattern to be tried.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TOKEN, TOKEN_HINT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", r"[0-9@]"
-NEAR, GROUP = 80, 64
+#: A group of digits that another can follow, and one that can follow another.
+INNER, OUTER = r"^[+(]{0,2}[0-9](?:[0-9().-]*[0-9)])?$", r"^\(?[0-9](?:[0-9().-]*[0-9)])?[\p{Punct}&&[^@+(-]]*$"
+NEAR, GROUP, LEAST_DIGITS, MOST = 80, 64, 7, 19
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
@@ -150,50 +157,97 @@ def _plausible(instance: Column, kind: Column) -> Column:
     )
 
 
+def _joined(tokens: str) -> Column:
+    """The tokens with their digits and whether each goes on with the number of the one before."""
+    return F.transform(
+        tokens,
+        lambda t, i: F.struct(
+            t["token"].alias("token"), t["left"].alias("left"), t["right"].alias("right"), t["start"].alias("start"), t["end"].alias("end"),
+            F.length(_digits(t["token"])).alias("digits"),
+            (t["left"].rlike(r"^\x20+$") & t["token"].rlike(OUTER) & F.coalesce(F.get(tokens, i - 1)["token"].rlike(INNER), F.lit(False))).alias("goes_on"),
+        ),
+    )
+
+
+def _parts(joined: str, fields: str) -> Column:
+    """The parts of two or more tokens of runs of digit groups; whole is true for a run that is learned as one instance."""
+    next_on = lambda i: F.coalesce(F.get(joined, i)["goes_on"], F.lit(False))
+
+    def of(t: Column, i: Column) -> Column:
+        def part(k: Column) -> Column:
+            own = F.slice(joined, i + 1, k)
+            digits = F.aggregate(own, F.lit(0), lambda n, x: n + x["digits"])
+            alone = F.exists(own, lambda x: x["digits"] >= LEAST_DIGITS)
+            last = F.get(joined, i + k - 1)
+            whole = ~t["goes_on"] & ~next_on(i + k) & ~alone
+            return F.struct(F.array_join(F.transform(own, lambda x: x["token"]), " "), t["left"], last["right"], t["start"], last["end"], F.lit(None).cast("int"), whole, digits)
+
+        # a part ends where the run does, or before its digits are more than MOST
+        length = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(MOST)), lambda k: ~next_on(i + k))), F.lit(MOST))
+        parts = F.transform(F.sequence(F.lit(2), length), part)
+        kept = F.filter(parts.cast(f"array<{fields[:-1]},digits:int>>"), lambda x: x["digits"].between(LEAST_DIGITS, MOST))
+        return F.when(next_on(i + 1), kept.cast(f"array<{fields[:-1]},digits:int>>"))
+
+    return F.flatten(F.filter(F.transform(joined, of), lambda x: x.isNotNull()))
+
+
 def occurrences(found: DataFrame) -> DataFrame:
-    """A row for each seed and for each identifier-like token beside them: doc_id, row, start, end, instance, kind, patterns."""
-    fields = "struct<token:string,left:string,right:string,start:long,end:long,kind:int>"
+    """A row for each seed and for each identifier-like instance beside them: doc_id, row, start, end, instance, kind, patterns.
+
+    patterns is empty where fewer than two words stand between the match before and this one.
+    """
+    fields = "struct<token:string,left:string,right:string,start:long,end:long,kind:int,whole:boolean>"
 
     def of(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["token"], s["left"], s["right"], s["start"], s["end"], F.lit(KINDS.index(kind))).cast(fields))
+        return F.transform(kind, lambda s: F.struct(s["token"], s["left"], s["right"], s["start"], s["end"], F.lit(KINDS.index(kind)), F.lit(True)).cast(fields))
 
     seeds = F.concat(*(of(k) for k in KINDS))
-    some = found.filter(F.size("tokens") > 0).withColumn("seeds", seeds)
-    free = F.filter("tokens", lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    free = F.transform(free, lambda t: F.struct(t["token"], t["left"], t["right"], t["start"], t["end"], F.lit(None).cast("int")).cast(fields))
-    each = some.select("doc_id", "row", F.explode(F.concat("seeds", free)).alias("o")).select("doc_id", "row", "o.*")
+    some = found.filter(F.size("tokens") > 0).withColumn("seeds", seeds).withColumn("joined", _joined("tokens"))
+    some = some.withColumn("parts", _parts("joined", fields))
+    apart = lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    parts = F.transform(F.filter("parts", apart), lambda t: t.dropFields("digits").cast(fields))
+    free = F.filter("tokens", apart)
+    free = F.transform(free, lambda t: F.struct(t["token"], t["left"], t["right"], t["start"], t["end"], F.lit(None).cast("int"), F.lit(True)).cast(fields))
+    each = some.select("doc_id", "row", F.explode(F.concat("seeds", free, parts)).alias("o")).select("doc_id", "row", "o.*")
     edge = "[\\p{Punct}]+"
     own = F.lower(F.regexp_replace("token", f"^(?!\\+){edge}|{edge}$", ""))
     before = F.regexp_extract_all(F.lower("left"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     after = F.regexp_extract(F.lower("right"), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
     last = F.try_element_at("b", F.lit(-1))
     patterns = F.array(F.concat_ws(" ", F.try_element_at("b", F.lit(-2)), last, F.lit("_")), F.concat_ws(" ", last, F.lit("_"), after))
-    return each.withColumn("instance", own).withColumn("b", before).filter((F.size("b") > 1) & (F.col("instance") != "")).select("doc_id", "row", "start", "end", "kind", "instance", patterns.alias("patterns"))
+    patterns = F.when((F.size("b") > 1) & F.col("whole"), patterns).otherwise(F.array().cast("array<string>"))
+    return each.withColumn("instance", own).withColumn("b", before).filter(F.col("instance") != "").select("doc_id", "row", "start", "end", "kind", "instance", patterns.alias("patterns"))
 
 
-def bootstrap(seen: DataFrame, *, rounds: int = 2, support: int = 5, confidence: float = 0.8, accept: float = 0.9) -> DataFrame:
-    """(instance, kind) of identifiers that trusted patterns discover.
+def bootstrap(seen: DataFrame, *, rounds: int | None = None, support: int = 5, confidence: float = 0.8, accept: float = 0.9) -> DataFrame:
+    """(instance, kind) of identifiers that trusted patterns discover, in as many rounds as accept a new one.
 
     The graph's edges are distinct rows, counted by partial aggregates. Trusted patterns are joined back by pattern;
-    Spark broadcasts them only below its size threshold and else splits a hot pattern as a skewed join.
+    Spark broadcasts them only below its size threshold and else splits a hot pattern as a skewed join. An accepted
+    instance keeps its kind, so confidences only rise and the rounds end.
     """
     edges = written(seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "edges")
-    seeds = edges.filter("kind is not null").select("instance", "kind").distinct()
-    graph = edges.filter("kind is null").select("pattern", "instance").join(seeds.select("instance").distinct(), "instance", "left_anti")
-    known = edges.filter("kind is not null").select("pattern", "instance", "kind")
-    new = None
-    for _ in range(rounds):
-        total = known.select("pattern", "instance").unionByName(graph).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    seeds = seen.filter("kind is not null").select("instance").distinct()
+    graph = written(edges.filter("kind is null").select("pattern", "instance").join(seeds, "instance", "left_anti"), "graph")
+    first = edges.filter("kind is not null").select("pattern", "instance", "kind")
+    total = written(first.select("pattern", "instance").unionByName(graph).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "total")
+    accepted = seen.sparkSession.createDataFrame([], "instance string, kind int")
+    while rounds is None or rounds > 0:
+        known = first.unionByName(graph.join(accepted, "instance").select("pattern", "instance", "kind"))
         right = known.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= support)
         trusted = right.join(total, "pattern").withColumn("conf", F.col("hits") / F.col("n")).filter(F.col("conf") >= confidence).select("pattern", "kind", "conf")
-        scored = graph.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("score"))
+        open_ = graph.join(accepted.select("instance"), "instance", "left_anti")
+        scored = open_.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("score"))
         scored = scored.filter((F.col("score") >= accept) & _plausible(F.col("instance"), F.col("kind")))
         new = written(scored.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")), "found")
-        known = known.unionByName(graph.join(new, "instance").select("pattern", "instance", "kind"))
-    return new
+        if new.isEmpty():
+            break
+        accepted = written(accepted.unionByName(new), "accepted")
+        rounds = None if rounds is None else rounds - 1
+    return accepted
 
 
-def personal_data(docs: DataFrame, *, rounds: int = 2, support: int = 5, confidence: float = 0.8, accept: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, *, rounds: int | None = None, support: int = 5, confidence: float = 0.8, accept: float = 0.9) -> DataFrame:
     """A row per document: base counts by kind, base_spans and spans as text (kind:start:end, by start and then kind), and n_found, the spans that the method adds."""
     found = written(base_spans(docs), "spans")
     seen = written(occurrences(found), "occurrences")

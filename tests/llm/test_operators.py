@@ -233,6 +233,27 @@ def test_contexts_discover_identifiers(spark):
     assert got[101].spans == got[102].spans == "" and all(got[i].spans == got[i].base_spans != "" for i in range(12))
 
 
+def test_every_occurrence_of_an_accepted_identifier(spark):
+    rows = [(i, f"some words then call phone: +1 867 555 {1000 + i} thanks and bye", None) for i in range(12)]
+    rows += [(100, "more words then call phone: 867-555-4242 thanks and bye", None), (101, "more words then call phone: 555 123 4567 thanks and bye", None)]
+    rows += [(110, "867-555-4242 opens", None), (111, "x 867-555-4242", None), (112, "867-555-4241 or 867-555-4242, 867-555-4242", None)]
+    rows += [(120, "555 123 4567", None), (121, "7 555 123 4567 8", None), (122, "a 555 123 4568 and 1 555  123 4567.", None), (123, "1 " * 500 + "555 123 4567", None)]
+    got = {x.doc_id: x.spans for x in pii.personal_data(table(spark, rows)).collect() if x.doc_id >= 100}
+    assert got == {
+        100: "phone:28:40", 101: "phone:28:40", 110: "phone:0:12", 111: "phone:2:14", 112: "phone:16:29,phone:30:42",
+        120: "phone:0:12", 121: "phone:2:14", 122: "phone:21:35", 123: "phone:1000:1012",
+    }
+
+
+def test_rounds_go_on_while_they_accept(spark):
+    rows = [(i, f"x alpha one +1 867 {100_0000 + i} end", None) for i in range(1000)]
+    for k, n in enumerate((100, 10, 1)):  # what a step's pattern accepts makes the next one trusted
+        for step in ("alpha one", "beta two", "gamma three")[k : k + 2]:
+            rows += [(len(rows) + i, f"x {step} {k}67-555-{2000 + i} end{len(rows)}", None) for i in range(n)]
+    got = [x for x in pii.personal_data(table(spark, rows)).collect() if x.doc_id >= 1000]
+    assert len(got) == 221 and all(x.n_found == 1 for x in got)
+
+
 def test_sentence_pieces(spark):
     import sentencepiece
 
