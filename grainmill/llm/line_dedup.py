@@ -2,7 +2,7 @@
 
 A line is its set of lower-cased words. Lines are ordered by doc_id and place in the text (rows of one doc_id by a hash of
 the row); a line is removed if an earlier line, removed itself or not, reaches the Jaccard threshold. Lines of fewer than
-`least` distinct words, blank ones among them, stay and remove nothing.
+`least` distinct words, blank ones among them, stay and remove nothing; with a `least` of 1 every line with a word counts.
 
 Equal sets are one class, known by its first line. The words of a class are ordered by rarity, from counts over all
 documents. Two sets that reach the threshold share a word among their first few (the prefix); words that occur once can't
@@ -102,6 +102,7 @@ def _measure(shared, least: int, percent: int):
             x = Lines(batch.column("text"), levels, least)
             use = np.flatnonzero(x.used)
             length = x.size[use] - (percent * x.size[use] + 99) // 100 + 1
+            length[100 * x.size[use] < percent * (x.size[use] + 1)] = 0  # a set so small is near to equal ones alone, its class
             ends = np.cumsum(length)
             at = np.arange(ends[-1] if len(ends) else 0)
             keys = x.key[np.repeat(x.first[use] - ends + length, length) + at]

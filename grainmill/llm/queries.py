@@ -59,7 +59,7 @@ def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+    return line_dedup(_table(spark, sf_dir, "documents"), least=1).select("doc_id", "text", "n_chars")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

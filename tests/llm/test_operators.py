@@ -182,6 +182,19 @@ def test_line_dedup(spark, monkeypatch, small):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
+    from grainmill.llm import queries
+
+    r = random.Random(4)
+    short = ["\n".join(" ".join(r.choice("abcdef") for _ in range(r.randint(0, 7))) for _ in range(3)) for _ in range(40)]
+    rows = [*corpus(11), *((1000 + i, t, None) for i, t in enumerate(short)), (2000, "All rights reserved.\n\nmenu", None), (2001, "All rights reserved.\n\nhome\nMENU", None)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    gone = brute_lines(rows, least=1)
+    got = {x.doc_id: x.text for x in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t, _ in rows}
+    assert got[2001] == "\nhome"
+
+
 def test_decontamination(spark):
     item = "Mary Smith drove 120 km in 3 hours and then she walked another 5 km to reach the old town hall before noon"
     again = "yesterday Paula Jones drove 77 km in 9 hours and then she walked another 4 km to reach the old town hall before noon they say"
