@@ -74,13 +74,13 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return scored.filter(F.col("similarity") >= threshold)
 
 
-def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
     """(a, b, similarity) of all pairs of distinct texts at the threshold, by a join on the rarest shingles of each set.
 
     Equal sets are joined through one of them. The shingles are ordered by how many sets hold them; two sets that reach
-    the threshold share one of the first size - ceil(threshold * size) + 1.
+    the threshold share one of the first size - ceil(threshold * size) + 1. A prefix of None compares whole texts.
     """
-    sets = stored(shingled(df, size))
+    sets = stored(shingled(df, size, prefix))
     one = stored(sets.groupBy(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("key")).agg(F.min(F.struct("seq", "id")).alias("first"), F.first("sh").alias("sh")))
     counts = one.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     ranked = one.select("key", F.size("sh").alias("m"), F.explode("sh").alias("s")).join(counts.filter("n > 1"), "s", "left")
@@ -113,9 +113,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_groups(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """id, keep_id and similarity (the least of the group's passing edges) of each record in a group of near duplicates, by MinHash LSH."""
-    sets = stored(shingled(df, size))
+def near_groups(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
+    """id, keep_id and similarity (the least of the group's passing edges) of each record in a group of near duplicates, by MinHash LSH.
+
+    A prefix of None compares whole texts.
+    """
+    sets = stored(shingled(df, size, prefix))
     links = stored(similar(candidate_pairs(sets), sets, threshold))
     labels = stored(components(links))
     least = links.join(labels, links.a == labels.node).groupBy("label").agg(F.min("similarity").alias("similarity"))
@@ -124,7 +127,7 @@ def near_groups(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE
     return members.join(keep, "label").join(least, "label").select(F.col("node").alias("id"), "keep_id", "similarity")
 
 
-def find_duplicates(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+def find_duplicates(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
     """kind, id and keep_id of what exact and near duplicate detection drops."""
-    near = near_groups(df, threshold, size).filter("id <> keep_id")
+    near = near_groups(df, threshold, size, prefix).filter("id <> keep_id")
     return exact_drops(df).select(F.lit("exact").alias("kind"), "id", "keep_id").unionByName(near.select(F.lit("near").alias("kind"), "id", "keep_id"))

@@ -80,7 +80,7 @@ def near_dup_pairs(spark, sf_dir):
 
 
 def near_dup_groups(spark, sf_dir):
-    return dedup.near_groups(_documents(spark, sf_dir))
+    return dedup.near_groups(_documents(spark, sf_dir), prefix=None)
 
 
 def _items(spark, sf_dir):

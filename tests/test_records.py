@@ -86,6 +86,18 @@ def test_exact_and_near_duplicates(spark):
     assert sorted(r.id for r in dedup.without(df, dedup.find_duplicates(df, 0.8)).collect()) == ["r0", "r3", "r4"]
 
 
+def test_near_duplicates_of_whole_texts(spark, tmp_path):
+    from grainmill.plans import queries
+
+    head = " ".join(f"head{i}" for i in range(400))
+    bodies = [" ".join(f"{k}x{i}" for i in range(2000)) for k in "ab"]
+    texts = [f"{head} {bodies[0]}", f"{head} {bodies[1]}", "other words here " + head.replace("head", "h") + " " + " ".join(f"c{i}" for i in range(5000)), " ".join(f"c{i}" for i in range(5000))]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.id: r.keep_id for r in queries.near_dup_groups(spark, str(tmp_path)).collect()} == {"2": "2", "3": "2"}
+    df = records(spark, *({"messages": [("user", t)]} for t in texts))
+    assert [(r.a, r.b) for r in dedup.exact_pairs(df, prefix=None).collect()] == [("r2", "r3")]
+
+
 def test_longest_then_leftmost_window(spark):
     items = spark.createDataFrame([("b", "a b c d e"), ("b", "k l m n o p q"), ("b", "x y")], "benchmark string, text string")
     df = records(spark, {"messages": [("user", "a b c d e and K, l m n o p q")]}, {"messages": [("user", "x y")]})
