@@ -10,7 +10,7 @@ from grainmill.plans.storage import stored
 from grainmill.schema import lists
 
 PREFIX, SHINGLE, THRESHOLD = 2000, 3, 0.85
-PERMUTATIONS, BANDS, ROWS, LARGE = 128, 16, 8, 64
+PERMUTATIONS, BANDS, ROWS = 128, 16, 8
 
 
 def comparable(messages: Column | None = None) -> Column:
@@ -55,15 +55,11 @@ def signature(sh: Column, n: int = PERMUTATIONS) -> Column:
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) that agree in a band of the signature; in a band value of many records each is paired with the first alone."""
+    """(a, b) that agree in a band of the signature, all pairs of every band value; equal sets should be one row."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
     rows = stored(sets.withColumn("sig", signature(F.col("sh"))).select("id", "seq", F.posexplode(bands).alias("band", "value")))
-    size = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "id")).alias("first")).filter("n > 1")
-    some = rows.join(size, ["band", "value"])
-    star = some.filter(F.col("n") > LARGE).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    few = some.filter(F.col("n") <= LARGE).select("band", "value", "id", "seq")
-    other = few.select("band", "value", F.col("id").alias("b"), F.col("seq").alias("s2"))
-    return few.join(other, ["band", "value"]).filter(F.struct("seq", "id") < F.struct("s2", "b")).select(F.col("id").alias("a"), "b").unionByName(star).filter("a <> b").distinct()
+    other = rows.select("band", "value", F.col("id").alias("b"), F.col("seq").alias("s2"))
+    return rows.join(other, ["band", "value"]).filter(F.struct("seq", "id") < F.struct("s2", "b")).select(F.col("id").alias("a"), "b").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -116,10 +112,12 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 def near_groups(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
     """id, keep_id and similarity (the least of the group's passing edges) of each record in a group of near duplicates, by MinHash LSH.
 
-    A prefix of None compares whole texts.
+    Equal sets are compared through the first of them, so a group of copies costs no pairs. A prefix of None compares whole texts.
     """
-    sets = stored(shingled(df, size, prefix))
-    links = stored(similar(candidate_pairs(sets), sets, threshold))
+    sets = stored(shingled(df, size, prefix).withColumn("key", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))
+    one = stored(sets.groupBy("key").agg(F.min(F.struct("seq", "id")).alias("first"), F.first("sh").alias("sh")).select("key", "first.id", "first.seq", "sh"))
+    copies = sets.select("key", F.col("id").alias("b")).join(one.select("key", F.col("id").alias("a")), "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    links = stored(similar(candidate_pairs(one), one, threshold).unionByName(copies))
     labels = stored(components(links))
     least = links.join(labels, links.a == labels.node).groupBy("label").agg(F.min("similarity").alias("similarity"))
     members = labels.join(sets.select(F.col("id").alias("node"), "seq"), "node")

@@ -98,6 +98,16 @@ def test_near_duplicates_of_whole_texts(spark, tmp_path):
     assert [(r.a, r.b) for r in dedup.exact_pairs(df, prefix=None).collect()] == [("r2", "r3")]
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    family = [" ".join([*words[:i], "new", *words[i + 1 :]]) for i in range(10, 76)]
+    df = records(spark, *({"messages": [("user", t)]} for t in ["a text that is unlike all the others", *family, family[3], family[3]]))
+    # all sets meet in each band, the unlike one first
+    monkeypatch.setattr(dedup, "signature", lambda sh, n=dedup.PERMUTATIONS: dedup.F.array_repeat(dedup.F.size(sh) * 0, n))
+    got = {r.id: (r.keep_id, r.similarity) for r in dedup.near_groups(df).collect()}
+    assert got == {f"r{i}": ("r1", 92 / 104) for i in range(1, 69)}
+
+
 def test_longest_then_leftmost_window(spark):
     items = spark.createDataFrame([("b", "a b c d e"), ("b", "k l m n o p q"), ("b", "x y")], "benchmark string, text string")
     df = records(spark, {"messages": [("user", "a b c d e and K, l m n o p q")]}, {"messages": [("user", "x y")]})
