@@ -25,8 +25,9 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
-#: Rate -> (least distance of a fence from the quartile, whether low values fail too).
-RATES = {"symbol_rate": (0.25, False), "dup_line_rate": (0.4, False), "repeat_rate": (0.3, False), "stutter_rate": (0.3, False), "word_length": (2.0, True)}
+#: Rate -> (least distance of a fence from the quartile, whether low values fail too). The distance only decides where
+#: the quartiles of a group are equal or nearly so, and stays below what the base rule lets through.
+RATES = {"symbol_rate": (0.05, False), "dup_line_rate": (0.1, False), "repeat_rate": (0.1, False), "stutter_rate": (0.05, False), "word_length": (0.5, True)}
 
 
 def _lines(scan: Scan) -> tuple[np.ndarray, np.ndarray]:

@@ -60,6 +60,18 @@ def test_quality_counts(spark):
     assert quality_rules.quality_rules(table(spark, [])).count() == 0
 
 
+def test_quality_fences_follow_the_group(spark):
+    r = random.Random(2)
+    text = lambda: [str(r.getrandbits(20)).zfill(7) for _ in range(100)]
+    rows = [(i, " ".join(text()), "en") for i in range(250)]
+    again = text()
+    again[50:60] = again[10:20]
+    lines = [" ".join(text()[:7]) for _ in range(8)]
+    rows += [(900, " ".join(again), "en"), (901, "\n".join([*lines, lines[0], lines[4]]), "en")]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(table(spark, rows)).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (900, 901)) and all(got[i].kept for i in range(250))
+
+
 def test_language(spark):
     r = random.Random(1)
     alphabet = {"xx": "abcde", "yy": "stuvw"}
