@@ -3,7 +3,7 @@
 Words lose the punctuation around them and A-Z and Latin-1 capitals are lower-cased. Numbers (words with a digit), names
 (capitalised words) and units (after a number) become typed placeholders, so a question whose numbers and names were
 exchanged keeps its template. A second form leaves names as words, so a change of case keeps that. Windows of `size` template words are hash-joined between documents and benchmark items;
-an item of fewer words, but `least` at least, is a window of its own length. A shared window counts if its slots are
+an item of fewer words is a window of its own length, which below `least` words counts only if all words and slots are equal. A shared window counts if its slots are
 consistent: equal values stand for equal values in both directions. A window of too few literal words counts only if all
 its slots are equal. A document is contaminated by an item if a window counts.
 
@@ -101,7 +101,7 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def item_windows(items: DataFrame, id_column: str, *, size: int, least: int) -> DataFrame:
+def item_windows(items: DataFrame, id_column: str, *, size: int) -> DataFrame:
     """item, n (words of the window), at, key, template, slots, literals and of (windows of the item), for every window of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def item_windows(items: DataFrame, id_column: str, *, size: int, least: int) ->
             counts = np.bincount(found.doc, minlength=found.rows)
             ids = batch.column(0).to_pylist()
             rows = []
-            for n in sorted({size, *counts[(counts >= least) & (counts < size)].tolist()}):
+            for n in sorted({size, *counts[(counts > 0) & (counts < size)].tolist()}):
                 for kinds, hashes in found.forms:
                     keys, at = windows(hashes, found.doc, n)
                     for key, k in zip(keys.tolist(), at.tolist(), strict=True):
@@ -149,7 +149,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_column: str = "item_id", size:
 
     The bitmap has 2**bits bits whatever the benchmark's size: a larger benchmark only lets more windows through to the join.
     """
-    listed = written(item_windows(items, id_column, size=size, least=least).distinct(), "windows")
+    listed = written(item_windows(items, id_column, size=size).distinct(), "windows")
     packed = bitmap(listed, "key", bits)
     sizes = [r.n for r in listed.select("n").distinct().collect()]
     shared = docs.select("doc_id", "text").mapInArrow(_candidates(packed, sizes), "doc_id long, n int, key long, template string, d_slots array<string>")
@@ -157,7 +157,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_column: str = "item_id", size:
     both = F.size(F.array_distinct(F.arrays_zip("d_slots", "slots")))
     same = F.col("d_slots") == F.col("slots")
     consistent = (both == F.size(F.array_distinct("d_slots"))) & (both == F.size(F.array_distinct("slots")))
-    counted = pairs.filter(same | (consistent & (F.col("literals") >= F.least(F.lit(literals), (F.col("n") + 1) / 2))))
+    counted = pairs.filter(same | (consistent & (F.col("n") >= least) & (F.col("literals") >= F.least(F.lit(literals), (F.col("n") + 1) / 2))))
     once = counted.groupBy("doc_id", "item", "n", "at").agg(F.max(same).alias("same"))
     return once.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("same").alias("verbatim"))
 

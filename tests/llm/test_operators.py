@@ -222,6 +222,13 @@ def test_decontamination(spark):
     assert decontaminate.hits(table(spark, rows), items.limit(0)).count() == 0 and decontaminate.hits(table(spark, []), items).count() == 0
 
 
+def test_short_items_count_verbatim(spark):
+    items = spark.createDataFrame([(1, "What is Two plus two?"), (2, "Who saw 7 cats"), (3, "?")], "item_id long, text string")
+    texts = ["so what is two plus two ok", "what is three plus two", "he asked: who saw 7 cats?", "who saw 8 cats", "?", "Who saw 7 Dogs"]
+    got = decontaminate.hits(table(spark, [(i, t, None) for i, t in enumerate(texts)]), items).collect()
+    assert sorted((r.doc_id, r.item, r.verbatim > 0) for r in got) == [(0, 1, True), (2, 2, True)]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
