@@ -87,12 +87,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Profiles:
-    """Profiles of every lang value among documents that aren't held out. The driver gets `size` rows a language."""
+def _lessons(docs: DataFrame, sample: int) -> DataFrame:
+    """lang, doc_id and text of the learning documents."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("lang", "doc_id").distinct()
-    few = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # `sample` ids a language
+    return known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # `sample` ids a language
+
+
+def learn(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Profiles:
+    """Profiles of every lang value among documents that aren't held out. The driver gets `size` rows a language."""
+    few = _lessons(docs, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -133,15 +138,28 @@ def language_id(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Dat
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def least_scores(docs: DataFrame, profiles: Profiles, *, sample: int = 1000, enough: int = 20, reach: float = 3.0, width: float = 0.1) -> dict[str, float]:
+    """Of each language, the score below which a text is far from its learning documents.
+
+    It lies `reach` times the distance of the quartiles, at least `width`, below the lower quartile of the scores of the
+    learning documents that are told rightly; a language of fewer than `enough` such documents takes that of all languages.
+    """
+    told = _lessons(docs, sample).select("lang", "text").mapInArrow(_predict(profiles, ["lang"]), "lang string, lang_pred string, score double").filter("lang = lang_pred")
+    rows = told.rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()  # a row a language
+    found = {r.lang: r.q[0] - max(width, reach * (r.q[1] - r.q[0])) for r in rows if r.n >= enough}
+    return {lang: found.get(lang, found.get(None, 0.0)) for lang in profiles.langs}
+
+
 def reject(docs: DataFrame, *, least_score: float = 0.05, size: int = SIZE, sample: int = 1000) -> DataFrame:
-    """The documents, with all their columns, whose language could be told: not `und`, and scored at least so much."""
+    """The documents, with all their columns, whose language could be told: not `und`, and scored at least as least_scores() asks of it, or least_score if that is more."""
     profiles = learn(docs, size=size, sample=sample)
     judge = profiles.predict
+    least = {lang: max(least_score, low) for lang, low in least_scores(docs, profiles, sample=sample).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             got = [judge(t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in got], pa.bool_()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least[lang] for lang, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

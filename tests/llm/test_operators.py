@@ -85,6 +85,15 @@ def test_language(spark):
     assert language_id.language_id(table(spark, [])).count() == 0
 
 
+def test_texts_far_from_every_language_are_rejected(spark):
+    r = random.Random(6)
+    common = {"en": "the of and to in is that it was for with his they this have from one had word but".split(), "de": "der die und das ist nicht ein eine ich sie mit auf dem zu den wir auch nach bei wird".split()}
+    rows = [(i, " ".join(r.choice(common[lang]) for _ in range(80)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(900, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80)), "en"), (901, "w przypadku gdy jest to mo\u017cliwe nale\u017cy si\u0119 zwr\u00f3ci\u0107 do s\u0105du kt\u00f3ry rozstrzyga " * 5, None)]
+    kept = {x.doc_id for x in language_id.reject(table(spark, rows)).collect()}
+    assert kept == set(range(120))
+
+
 def test_token_blocks():
     r = np.random.default_rng(1)
     for ids in (np.array([7]), np.zeros(5000), r.integers(0, 50257, 8192), np.append(r.integers(0, 9, 100), 2**32 - 1), r.integers(0, 2**32, 999)):
