@@ -55,7 +55,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_piece.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return sentence_piece.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

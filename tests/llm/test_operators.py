@@ -308,6 +308,17 @@ def test_sentence_pieces(spark):
     assert sentence_piece.encode(table(spark, []), path).count() == 0
 
 
+def test_registered_pieces_come_with_ids(spark, tmp_path):
+    import sentencepiece
+
+    from grainmill.llm import queries
+
+    table(spark, [(1, "some words", None), (2, None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = {r.doc_id: r.piece_ids for r in queries.op6_sentence_piece(spark, str(tmp_path)).collect()}
+    assert got == {1: library.encode("some words"), 2: []}
+
+
 def test_unigram_viterbi():
     r = random.Random(2)
     pieces = [("<unk>", 0.0, 2), *{"".join(r.choice("ab▁") for _ in range(r.randint(1, 4))): None for _ in range(60)}]
