@@ -9,10 +9,14 @@ have so few.
 
 Pairs that share a signature are candidates. An odd sketch (a parity bitmap, whose differing bits never outnumber the
 differing features) rules most false ones out, and exact Jaccard on the texts decides. First each class is compared
-with one leader; once those links are merged, only members of different components within a bucket are compared, so
-a group of g near copies costs about g comparisons and no link between different components is lost.
+with one leader. Once those links are merged, a bucket's members carry their sketches, and of the pairs that these
+allow between different components only a spanning forest is decided on texts: what it links is one component and
+needs no further pair. Buckets with a refused pair go on, less the refused pairs and with more links a member, until
+none holds an undecided pair. So a group of g near copies costs about g comparisons and no link between different
+components is lost. A bucket of more than BLOCK members is dealt out in blocks, first each alone, then in pairs.
 
-Features are 64-bit hashes of word windows, and a class is known by a 64-bit hash of its set.
+Features are 64-bit hashes of word windows. A class is known by a 64-bit hash of its set; where a second hash shows
+that different sets share the first, both make the class, so equality rests on 128 bits.
 
 Null, empty and blank texts have an empty set and no links. A class whose rows all lack a doc_id has no component_id of its own. Rows that repeat a doc_id are documents of their own. An
 empty table gives an empty result; columns other than doc_id and text are ignored, or by keep_one() kept as they are.
@@ -24,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, marked, written
+from grainmill.llm.common import bitmap, chunks, dropped, marked, written
 from grainmill.llm.graphs import components
 from grainmill.llm.words import Scan, mix, shingles
 
@@ -66,14 +71,37 @@ class Bands:
         return np.searchsorted(self.edges, sizes, "right") - 1, np.searchsorted(self.edges, sizes * 100 // self.percent, "right") - 1
 
 
-def sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature) pairs in order, and of each row the set's size and its class."""
+def totals(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sums modulo 2**64 of runs of so many values."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    ends = np.cumsum(size)
+    return sums[ends] - sums[ends - size]
+
+
+def keys(features: np.ndarray, size: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, the first of so many bits."""
+    n = size.astype(np.uint64)
+    one, two = (mix(totals(mix(features + seed), size) + n) for seed in (_SEED[0], _SEED[2]))
+    return (one >> _U(64 - bits)).view(np.int64), two.view(np.int64)
+
+
+def classes_of(features: np.ndarray, size: np.ndarray, shared: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The class of each set: its first hash, or both for those that different sets are known to share."""
+    one, two = keys(features, size, bits)
+    return np.where(np.isin(one, shared), mix(one.view(np.uint64) + mix(two.view(np.uint64))).view(np.int64), one) if len(shared) else one
+
+
+def collisions(hashed: DataFrame) -> np.ndarray:
+    """The first hashes (c) that sets of different second hashes (c2) share: at n different sets about n**2 / 2**65."""
+    odd = hashed.groupBy("c").agg(F.min("c2").alias("x"), F.max("c2").alias("y")).filter("x <> y").select("c")
+    return odd.toArrow().column("c").to_numpy()
+
+
+def sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature) pairs in order, and the size of each row's set."""
     scan = Scan(column, lower=True)
     owner, features = shingles(scan.words(), scan.doc, scan.rows, words)
-    size = np.bincount(owner, minlength=scan.rows)
-    key = np.zeros(scan.rows, np.uint64)
-    np.add.at(key, owner, mix(features + _SEED[0]))
-    return owner, features, size, mix(key + size.astype(np.uint64)).view(np.int64)
+    return owner, features, np.bincount(owner, minlength=scan.rows)
 
 
 def signatures(owner: np.ndarray, features: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +143,7 @@ def sketches(owner: np.ndarray, features: np.ndarray, rows: int, bits: int) -> l
 
 
 SKETCH_BITS = 1024
+GONE, GONE_ROW = "__grainmill_gone", "__grainmill_gone_row"  # names of our own beside the columns of the caller
 
 
 def _bound(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -130,67 +159,129 @@ def _near(sketch: np.ndarray, size: np.ndarray, i, j, percent: int) -> np.ndarra
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig and c, those whose signature two classes or more share, with the least as leader."""
-    held = None
+    """Of rows sorted by sig and c, those whose signature two classes or more share, with the least as leader.
+
+    Between batches only the leader and the last class of the run that may go on are held, however long it is.
+    """
+    run: tuple[int, int, int, bool] | None = None  # signature, leader, last class, and whether the leader is out
     for batch in batches:
         sig, c = (batch.column(k).to_numpy() for k in range(2))
-        if held is not None:
-            sig, c = np.concatenate((held[0], sig)), np.concatenate((held[1], c))
         if not len(sig):
             continue
-        cut = int(np.searchsorted(sig, sig[-1]))  # the last run may go on
-        held = sig[cut:], c[cut:]
-        if cut:
-            yield _shared(sig[:cut], c[:cut])
-    if held is not None:
-        yield _shared(*held)
-
-
-def _shared(sig: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (c[1:] != c[:-1])
-    sig, c = sig[new], c[new]
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    length = np.diff(np.append(start, len(sig)))
-    out = np.repeat(length > 1, length)
-    leader = np.repeat(c[start], length)
-    return pa.RecordBatch.from_pydict({"sig": sig[out], "c": c[out], "leader": leader[out]})
-
-
-def _across(percent: int):
-    """Pairs of different components within each bucket that size and sketch allow; rows sorted by sig."""
-
-    def pairs(c, label, size, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(size, kind="stable")
-        c, label, size, sketch = c[order], label[order], size[order], sketch[order]
-        stop = np.searchsorted(size, size * 100 // percent, "right")
-        for i in range(len(c)):
-            for at in range(i + 1, int(stop[i]), 100_000):
-                j = np.arange(at, min(at + 100_000, int(stop[i])))
-                j = j[label[j] != label[i]]
-                j = j[_near(sketch, size, i, j, percent)]
-                if len(j):
-                    yield np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+        before = (run[0], run[2]) if run else (~sig[0], c[0])
+        new = np.append(True, (sig[1:] != sig[:-1]) | (c[1:] != c[:-1]))
+        new[0] = (sig[0], c[0]) != before
+        sig, c = sig[new], c[new]
+        if not len(sig):
+            continue
+        on = run is not None and sig[0] == run[0]
+        waiting = on and not run[3]
+        if waiting:
+            sig, c = np.append(run[0], sig), np.append(run[1], c)
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        length = np.diff(np.append(start, len(sig)))
+        lead = c[start]
+        out = length > 1
+        if on:
+            lead[0], out[0] = run[1], True
+        run = int(sig[-1]), int(lead[-1]), int(c[-1]), bool(out[-1])
+        keep = np.repeat(out, length)
+        yield pa.RecordBatch.from_pydict({"sig": sig[keep], "c": c[keep], "leader": np.repeat(lead, length)[keep]})
+
+
+BLOCK = 4096  # members of a bucket that a task holds at once, or twice as many for a pair of blocks
+
+
+def _spanning(part: np.ndarray, near, width: int) -> list[tuple[int, np.ndarray]]:
+    """Pairs (i, js) that span what near(i, among) links between different parts; a part is reached at most `width` times."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(int(part.max()) + 2))
+    need = np.full(len(cuts) - 1, width)
+    seen = np.zeros(len(cuts) - 1, bool)
+    found = []
+    for root in range(len(part)):
+        if seen[part[root]]:
+            continue
+        seen[part[root]] = True
+        need[part[root]] -= 1
+        queue = order[cuts[part[root]] : cuts[part[root] + 1]].tolist()
+        for i in queue:  # it grows
+            among = np.flatnonzero(need[part] > 0)
+            if not len(among):
+                break
+            js = among[near(i, among)]
+            if not len(js):
+                continue
+            js = js[np.unique(part[js], return_index=True)[1]]
+            found.append((i, js))
+            need[part[js]] -= 1
+            for k in part[js][~seen[part[js]]].tolist():
+                queue.extend(order[cuts[k] : cuts[k + 1]].tolist())
+            seen[part[js]] = True
+    return found
+
+
+def _undecided(percent: int, width: int):
+    """(sig, lo, hi, a, b) of spanning links within each cell, a block of a bucket or two; rows sorted by these three.
+
+    A row with `other` is a pair that the texts refused.
+    """
+
+    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
+        refused = t.column("other").is_valid().to_numpy()
+        label, c = (t.column(k).to_numpy() for k in ("label", "c"))
+        pairs = {p for a, b in zip(c[refused].tolist(), t.column("other").drop_null().to_pylist(), strict=True) for p in ((a, b), (b, a))}
+        mine = np.flatnonzero(~refused)
+        mine = mine[np.argsort(c[mine], kind="stable")]
+        label, c = label[mine], c[mine]
+        if len(c) < 2 or (label == label[0]).all():
+            return None
+        size, block = (t.column(k).to_numpy()[mine] for k in ("n", "block"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(mine)).to_pylist()), np.uint64).reshape(len(c), -1)
+        cross = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        banned: dict[int, list[int]] = {}
+        if pairs:
+            place = {x: i for i, x in enumerate(c.tolist())}
+            for a, b in pairs:
+                if a in place and b in place:
+                    banned.setdefault(place[a], []).append(place[b])
+
+        def near(i: int, among: np.ndarray) -> np.ndarray:
+            ok = (label[among] != label[i]) & (block[among] != block[i] if cross else True)
+            ok[ok] = _near(sketch, size, i, among[ok], percent)
+            if i in banned:
+                ok &= ~np.isin(among, banned[i])
+            return ok
+
+        found = _spanning(np.unique(label, return_inverse=True)[1], near, width)
+        if not found:
+            return None
+        i, j = np.concatenate([np.full(len(js), i) for i, js in found]), np.concatenate([js for _, js in found])
+        return np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # those of the cell that may go on
         for batch in _with_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if held is None or not held.num_rows:
+            if batch is not None and not batch.num_rows:
                 continue
-            sig = held.column("sig").to_numpy()
-            cut = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1]))
-            done, held = held.slice(0, cut), held.slice(cut)
-            if not cut:
+            last = [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in ("sig", "lo", "hi")] if held else None
+            if batch is not None and last is not None and all(pc.all(pc.equal(batch.column(k), v)).as_py() for k, v in zip(("sig", "lo", "hi"), last, strict=True)):
+                held.append(batch)
+                continue
+            if batch is not None:
+                held.append(batch)
+            if not held:
                 continue
-            c, label, size = (done.column(k).to_numpy() for k in ("c", "label", "n"))
-            sketch = np.frombuffer(b"".join(done.column("sketch").to_pylist()), np.uint64).reshape(cut, -1)
-            start = np.flatnonzero(np.concatenate(([True], sig[1:cut] != sig[: cut - 1])))
-            found = [p for a, b in zip(start, np.append(start[1:], cut), strict=True) if (label[a:b] != label[a]).any() for p in pairs(c[a:b], label[a:b], size[a:b], sketch[a:b])]
-            if found:
-                yield pa.RecordBatch.from_pydict({"a": np.concatenate([p[0] for p in found]), "b": np.concatenate([p[1] for p in found])})
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in ("sig", "lo", "hi")])
+            start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
+            stop = np.append(start[1:], t.num_rows)
+            done = len(start) - (batch is not None)
+            held = t.slice(int(start[-1])).to_batches() if batch is not None else []
+            for at, to in zip(start[:done].tolist(), stop[:done].tolist(), strict=True):
+                if (pairs := of(t.slice(at, to - at))) is not None:
+                    n = len(pairs[0])
+                    yield pa.RecordBatch.from_pydict({"sig": np.full(n, key[0, at]), "lo": pa.array(np.full(n, key[1, at]), pa.int32()), "hi": pa.array(np.full(n, key[2, at]), pa.int32()), "a": pairs[0], "b": pairs[1]})
 
     return run
 
@@ -227,23 +318,37 @@ def _verify(words: int, percent: int):
     return run
 
 
-def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, c, component_id) and links (a, b) between classes, those that made the components."""
-    bands = Bands(percent)
-    texts = docs.select("doc_id", "text")
+def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, row, n_shingles, c, component_id) and links (a, b) between classes, those that made the components.
+
+    row is a hash of doc_id and text. bits is the width of a class's first hash.
+    """
+    spark, bands = docs.sparkSession, Bands(percent)
+    texts = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            _, _, size, key = sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(key)], ["doc_id", "n_shingles", "c"])
+            _, features, size = sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(size, pa.int64()), *(pa.array(x) for x in keys(features, size, bits))], ["doc_id", "row", "n_shingles", "c", "c2"])
+
+    measured = written(texts.mapInArrow(measure, "doc_id long, row long, n_shingles long, c long, c2 long"), "sets")
+    odd = collisions(measured.filter("n_shingles > 0"))
+    if len(odd):
+        shared = F.expr("c in (" + ", ".join(f"{c}L" for c in odd.tolist()) + ")")
+
+        def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                one, two = (batch.column(k).to_numpy().view(np.uint64) for k in ("c", "c2"))
+                yield batch.set_column(3, "c", pa.array(mix(one + mix(two)).view(np.int64)))
 
-    measured = written(texts.mapInArrow(measure, "doc_id long, n_shingles long, c long"), "sets")
-    classes = measured.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        measured = written(measured.filter(~shared).unionByName(measured.filter(shared).mapInArrow(renamed, measured.schema)), "sets")
+    classes = measured.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task signs a class once, so copies don't fill the exchange
         for batch in chunks(batches):
-            owner, features, size, key = sets(batch.column("text"), words)
+            owner, features, size = sets(batch.column("text"), words)
+            key = classes_of(features, size, odd, bits)
             new = np.zeros(len(key), bool)
             for k, c in enumerate(key.tolist()):
                 if c not in seen:
@@ -256,55 +361,86 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80) -> tuple
             for at in range(0, len(row), 200_000):
                 yield pa.RecordBatch.from_pydict({"sig": signs[at : at + 200_000].view(np.int64), "c": key[row[at : at + 200_000]]})
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = texts.mapInArrow(sign, "sig long, c long").repartition(n, "sig").sortWithinPartitions("sig", "c")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = texts.select("text").mapInArrow(sign, "sig long, c long").repartition(n, "sig").sortWithinPartitions("sig", "c")
     members = written(signed.mapInArrow(_runs, "sig long, c long, leader long"), "buckets")
 
     wanted = members.select("c").distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(classes.join(wanted, "c", "left_semi").select(F.xxhash64("least").alias("row")), "row", 24))
+    marks = spark.sparkContext.broadcast(bitmap(classes.join(wanted, "c", "left_semi"), "row", 24))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (b.filter(pa.array(marked(marks.value, b.column("row").to_numpy()))) for b in batches)
         for batch in chunks(rows):
-            owner, features, size, key = sets(batch.column("text"), words)
+            owner, features, size = sets(batch.column("text"), words)
             drawn = sketches(owner, features, batch.num_rows, SKETCH_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(size, pa.int64()), pa.array(drawn, pa.binary()), batch.column("text")], ["c", "n", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(classes_of(features, size, odd, bits)), pa.array(size, pa.int64()), pa.array(drawn, pa.binary()), batch.column("text")], ["c", "n", "sketch", "text"])
 
-    drawn = texts.select(F.xxhash64("doc_id").alias("row"), "text").mapInArrow(draw, "c long, n long, sketch binary, text string")
+    drawn = texts.select("row", "text").mapInArrow(draw, "c long, n long, sketch binary, text string")
     known = written(drawn.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "candidates")
 
     def decided(pairs: DataFrame) -> DataFrame:
         one, two = (known.select(F.col("c").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         return written(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
 
-    shared = members.filter("c <> leader").groupBy("c", "leader").count()
-    star = shared.groupBy("c").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")).select("a", F.col("c").alias("b"))
-    links = decided(written(plausible(star, known, percent), "pairs"))
-    labels = written(components(links), "labels")
+    stars = members.filter("c <> leader").groupBy("c", "leader").count()
+    star = stars.groupBy("c").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")).select("a", F.col("c").alias("b"))
+    star = written(plausible(star, known, percent), "pairs")
+    links = decided(star)
+    labels = components(links)
+    labels = written(labels, "labels")
+
     plain = members.select("sig", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label"))
-    open_ = plain.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("sig")
-    rest = plain.join(open_, "sig", "left_semi").join(known.select("c", "n", "sketch"), "c")
-    across = rest.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(_across(percent), "a long, b long").distinct()
-    more = decided(written(across, "pairs"))
-    links = links.unionByName(more)
-    labels = components(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    open_ = plain.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    cells = members.select("sig", "c").join(open_, "sig").join(known.select("c", "n", "sketch"), "c")
+    cells = written(cells.withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as int)")), "cells")
+    dropped(spark, members, star)
+    alone = cells.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
+    across = cells.filter("blocks > 1").select("*", other).filter("with <> block").withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
+    for rows in (alone, across):
+        cell, refused, width = ["sig", "lo", "hi"], None, 1
+        while True:
+            now = rows if refused is None else rows.join(refused.select(cell).distinct(), cell, "left_semi")
+            now = now.join(labels.withColumnRenamed("node", "c"), "c", "left").select(*cell, "c", F.coalesce("label", "c").alias("label"), "n", "sketch", "block", F.lit(None).cast("long").alias("other"))
+            if refused is not None:
+                none = (F.lit(None).cast(t).alias(k) for k, t in (("label", "long"), ("n", "long"), ("sketch", "binary"), ("block", "int")))
+                now = now.unionByName(refused.select(*cell, F.col("a").alias("c"), F.col("b").alias("other"), *none))
+            found = now.repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(_undecided(percent, width), "sig long, lo int, hi int, a long, b long")
+            found = written(found, "pairs")
+            if found.isEmpty():
+                break
+            more = decided(found.select("a", "b").distinct())
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = written(components(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+            again = found.join(more, ["a", "b"], "left_anti").select(*cell, "a", "b")
+            open_cells = written(again, "refused")
+            if open_cells.isEmpty():
+                break
+            refused = open_cells if refused is None else written(refused.join(open_cells.select(cell).distinct(), cell, "left_semi").unionByName(open_cells), "refused")
+            width *= 4
+    dropped(spark, cells)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(named.join(least, "label").select("c", "component_id"), "components")
-    out = measured.join(named, "c", "left").select("doc_id", "n_shingles", "c", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = measured.join(named, "c", "left").select("doc_id", "row", "n_shingles", "c", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out, links
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, less those of a group whose doc_id isn't its least.
+    """The documents, with all their columns, less those of a group that aren't its least by doc_id (and then by a hash of doc_id and text).
 
-    Of rows that repeat a doc_id one stays, unless they are without words. A document without a doc_id always stays.
+    A row is known by doc_id and text, so rows that repeat a doc_id with other texts are judged each on its own; of
+    identical rows one stays. Documents without words or without a doc_id always stay.
     """
-    found = written(jaccard_join(docs, words=words, percent=percent)[0], "groups")
-    gone = found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = written(jaccard_join(docs, words=words, percent=percent)[0].filter("n_shingles > 0 and doc_id is not null"), "groups")
+    first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("first"))
+    gone = found.join(first, "component_id").filter("doc_id <> component_id or row <> first").select(F.col("doc_id").alias(GONE), F.col("row").alias(GONE_ROW)).distinct()
+    same = (F.col("doc_id") == F.col(GONE)) & (F.xxhash64("doc_id", "text") == F.col(GONE_ROW))
+    kept = docs.join(gone, same, "left_anti")
+    again = found.groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias(GONE), F.col("row").alias(GONE_ROW))
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once).select(docs.columns)

@@ -176,6 +176,49 @@ def test_large_buckets_lose_no_link(spark):
     assert got == brute_components(rows, 2, 85)
 
 
+def test_a_hub_whose_copies_are_not_all_alike(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base), None)]
+    for i in range(1, 300):  # near copies with up to 16 words exchanged: some link, some miss the threshold closely
+        w = list(base)
+        for k in r.sample(range(80), r.randint(1, 16)):
+            w[k] = f"x{r.randint(0, 30)}"
+        rows.append((i, " ".join(w), None))
+    want = brute_components(rows, 1, 80)
+    for block, bits in ((4096, 64), (40, 5)):  # bits: hashes that different sets share
+        monkeypatch.setattr(partenum, "BLOCK", block)
+        got = partenum.jaccard_join(table(spark, rows), words=1, percent=80, bits=bits)[0].collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want, (block, bits)
+
+
+def test_unlike_texts_of_one_doc_id_stay(spark):
+    text, other = "one two three four five six seven", "quite another text that has nothing to do with it"
+    kept = partenum.keep_one(table(spark, [(1, text, None), (2, text, None), (2, other, None), (2, other, None), (3, other, None)]))
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(1, text), (2, other)]
+
+
+def test_spanning_links_reach_all_that_is_near():
+    r = np.random.default_rng(4)
+    for m, width in ((1, 1), (30, 1), (30, 4), (80, 1)):
+        part = r.integers(0, max(1, m // 2), m)
+        part = np.unique(part, return_inverse=True)[1]
+        near = r.random((m, m)) < 2 / m
+        near = (near | near.T) & (part[:, None] != part)
+        found = partenum._spanning(part, lambda i, among: near[i, among], width)
+
+        def groups(edges):
+            root = list(range(int(part.max()) + 1))
+            for a, b in edges:
+                x, y = root[part[a]], root[part[b]]
+                root = [min(x, y) if k in (x, y) else k for k in root]
+            return root
+
+        assert all(near[i, j] for i, js in found for j in js)
+        assert groups((i, j) for i, js in found for j in js) == groups(zip(*np.nonzero(near), strict=True))
+        assert sum(len(js) for _, js in found) <= width * (part.max() + 1)
+
+
 def brute_lines(rows, percent=80, least=5):
     seen, gone = [], defaultdict(list)
     for i, t, _ in sorted(rows, key=lambda x: x[0]):
