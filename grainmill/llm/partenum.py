@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, dropped, marked, written
+from grainmill.llm.common import bitmap, chunks, dropped, marked, released, written
 from grainmill.llm.graphs import components
 from grainmill.llm.words import Scan, mix, shingles
 
@@ -227,32 +227,33 @@ def _undecided(percent: int, width: int):
     A row with `other` is a pair that the texts refused.
     """
 
-    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray] | None:
-        refused = t.column("other").is_valid().to_numpy()
-        label, c = (t.column(k).to_numpy() for k in ("label", "c"))
-        pairs = {p for a, b in zip(c[refused].tolist(), t.column("other").drop_null().to_pylist(), strict=True) for p in ((a, b), (b, a))}
-        mine = np.flatnonzero(~refused)
-        mine = mine[np.argsort(c[mine], kind="stable")]
-        label, c = label[mine], c[mine]
+    def of(label, c, size, block, sketch, refused: tuple, cross: bool) -> tuple[np.ndarray, np.ndarray] | None:
         if len(c) < 2 or (label == label[0]).all():
             return None
-        size, block = (t.column(k).to_numpy()[mine] for k in ("n", "block"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").take(pa.array(mine)).to_pylist()), np.uint64).reshape(len(c), -1)
-        cross = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        order = np.argsort(c)
+        label, c, size, block, sketch = (x[order] for x in (label, c, size, block, sketch))
         banned: dict[int, list[int]] = {}
-        if pairs:
-            place = {x: i for i, x in enumerate(c.tolist())}
-            for a, b in pairs:
-                if a in place and b in place:
-                    banned.setdefault(place[a], []).append(place[b])
+        for one, two in (refused, refused[::-1]):
+            for i, j in zip(np.searchsorted(c, one).tolist(), np.searchsorted(c, two).tolist(), strict=True):
+                banned.setdefault(i, []).append(j)
 
-        def near(i: int, among: np.ndarray) -> np.ndarray:
+        def near(i, among: np.ndarray) -> np.ndarray:
             ok = (label[among] != label[i]) & (block[among] != block[i] if cross else True)
             ok[ok] = _near(sketch, size, i, among[ok], percent)
             if i in banned:
                 ok &= ~np.isin(among, banned[i])
             return ok
 
+        if len(c) <= 128:  # all at once
+            far = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(-1, dtype=np.int64)
+            all_ = (far <= _bound(size[:, None], size[None], percent)) & (label[:, None] != label[None])
+            if cross:
+                all_ &= block[:, None] != block[None]
+            for i, js in banned.items():
+                all_[i, js] = False
+            if not all_.any():
+                return None
+            near = lambda i, among: all_[i, among]
         found = _spanning(np.unique(label, return_inverse=True)[1], near, width)
         if not found:
             return None
@@ -278,10 +279,28 @@ def _undecided(percent: int, width: int):
             stop = np.append(start[1:], t.num_rows)
             done = len(start) - (batch is not None)
             held = t.slice(int(start[-1])).to_batches() if batch is not None else []
+            columns = [t.column(k).to_numpy() for k in ("label", "c", "n", "block")]
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            other, bad = t.column("other").fill_null(0).to_numpy(), t.column("other").is_valid().to_numpy()
+            out = []
+            # cells of two members and no refused pair, most of all, go together
+            two = start[:done][(stop[:done] - start[:done] == 2)]
+            two = two[~bad[two] & ~bad[two + 1]]
+            label, c, size, block = columns
+            two = two[label[two] != label[two + 1]]
+            two = two[(key[1, two] == key[2, two]) | (block[two] != block[two + 1])]
+            two = two[_near(sketch, size, two, two + 1, percent)]
+            out.append((two, np.minimum(c[two], c[two + 1]), np.maximum(c[two], c[two + 1])))
             for at, to in zip(start[:done].tolist(), stop[:done].tolist(), strict=True):
-                if (pairs := of(t.slice(at, to - at))) is not None:
-                    n = len(pairs[0])
-                    yield pa.RecordBatch.from_pydict({"sig": np.full(n, key[0, at]), "lo": pa.array(np.full(n, key[1, at]), pa.int32()), "hi": pa.array(np.full(n, key[2, at]), pa.int32()), "a": pairs[0], "b": pairs[1]})
+                mine = np.arange(at, to)
+                if to - at == 2 and not bad[at:to].any():
+                    continue
+                no, mine = mine[bad[at:to]], mine[~bad[at:to]]
+                pairs = of(*(x[mine] for x in (*columns, sketch)), (c[no], other[no]), key[1, at] != key[2, at])
+                if pairs is not None:
+                    out.append((np.full(len(pairs[0]), at), *pairs))
+            at, a, b = (np.concatenate([o[k] for o in out]) for k in range(3))
+            yield pa.RecordBatch.from_pydict({"sig": key[0, at], "lo": pa.array(key[1, at], pa.int32()), "hi": pa.array(key[2, at], pa.int32()), "a": a, "b": b})
 
     return run
 
@@ -365,6 +384,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
     signed = texts.select("text").mapInArrow(sign, "sig long, c long").repartition(n, "sig").sortWithinPartitions("sig", "c")
     members = written(signed.mapInArrow(_runs, "sig long, c long, leader long"), "buckets")
 
+    released(spark)
     wanted = members.select("c").distinct()
     marks = spark.sparkContext.broadcast(bitmap(classes.join(wanted, "c", "left_semi"), "row", 24))
 
@@ -379,8 +399,13 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
     known = written(drawn.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "candidates")
 
     def decided(pairs: DataFrame) -> DataFrame:
-        one, two = (known.select(F.col("c").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return written(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()  # so that only their texts are moved
+        some = written(known.select("c", "text").join(asked, "c", "left_semi"), "texts")
+        one, two = (some.select(F.col("c").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+        out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
+        dropped(spark, some)
+        released(spark)
+        return out
 
     stars = members.filter("c <> leader").groupBy("c", "leader").count()
     star = stars.groupBy("c").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("a")).select("a", F.col("c").alias("b"))
@@ -390,7 +415,9 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
     labels = written(labels, "labels")
 
     plain = members.select("sig", "c").join(labels.withColumnRenamed("node", "c"), "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label"))
-    open_ = plain.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y")
+    print_ = (F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("h2"), F.min("c").alias("h3"), F.max("c").alias("h4"))
+    open_ = plain.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size"), *print_).filter("x <> y")
+    open_ = open_.groupBy("size", "h1", "h2", "h3", "h4").agg(F.min("sig").alias("sig"))  # of buckets with the same members one is enough
     open_ = open_.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     cells = members.select("sig", "c").join(open_, "sig").join(known.select("c", "n", "sketch"), "c")
     cells = written(cells.withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as int)")), "cells")
@@ -404,13 +431,13 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
             now = rows if refused is None else rows.join(refused.select(cell).distinct(), cell, "left_semi")
             now = now.join(labels.withColumnRenamed("node", "c"), "c", "left").select(*cell, "c", F.coalesce("label", "c").alias("label"), "n", "sketch", "block", F.lit(None).cast("long").alias("other"))
             if refused is not None:
-                none = (F.lit(None).cast(t).alias(k) for k, t in (("label", "long"), ("n", "long"), ("sketch", "binary"), ("block", "int")))
+                none = (F.lit(v).alias(k) for k, v in (("label", 0), ("n", 0), ("sketch", bytearray(SKETCH_BITS // 8)), ("block", 0)))
                 now = now.unionByName(refused.select(*cell, F.col("a").alias("c"), F.col("b").alias("other"), *none))
             found = now.repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(_undecided(percent, width), "sig long, lo int, hi int, a long, b long")
             found = written(found, "pairs")
             if found.isEmpty():
                 break
-            more = decided(found.select("a", "b").distinct())
+            more = decided(written(found.select("a", "b").distinct(), "pairs"))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = written(components(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
