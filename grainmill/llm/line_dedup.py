@@ -1,19 +1,20 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its set of lower-cased words. Lines are ordered by doc_id and place in the text (rows of one doc_id by a hash of
-the row); a line is removed if an earlier line, removed itself or not, reaches the Jaccard threshold. Lines of fewer than
-`least` distinct words, blank ones among them, stay and remove nothing; with a `least` of 1 every line with a word counts.
+A line is its set of lower-cased words. Lines are ordered by doc_id, place in the text and class; a line is removed if an
+earlier line, removed itself or not, reaches the Jaccard threshold. Lines of fewer than `least` distinct words, blank ones
+among them, stay and remove nothing; with a `least` of 1 every line with a word counts.
 
 Equal sets are one class, known by its first line. The words of a class are ordered by rarity, from counts over all
 documents. Two sets that reach the threshold share a word among their first few (the prefix); words that occur once can't
-be it. Classes that share such a word are candidates if sizes (length
-filter), places of the word (positional filter) and a parity sketch of 64 bits, whose differing bits never outnumber the
-differing words, allow it; exact Jaccard on the lines decides. In a bucket of more than SMALL classes each is first
-compared with the earliest alone; only classes that are still without an earlier match meet all earlier ones, so a
-group of g near copies costs about g comparisons.
-
-Words are 64-bit hashes. Null texts stay null; a row without a doc_id comes first. Identical rows (doc_id and text) are one
-document. An empty table gives an empty result. All other columns are kept as they are.
+be it. Classes that share such a word are candidates if sizes (length filter), places of the word (positional filter) and a
+parity sketch of 64 bits, whose differing bits never outnumber the differing words, allow it; exact Jaccard on the lines'
+words decides. As one earlier match is enough, a class is first decided against its earliest candidate of each word; only
+classes that this leaves open go on, with 64 times the candidates, until all of them are used up. So a group of g near
+copies costs about g comparisons. A word of more than BLOCK classes is dealt out in pairs of blocks.
+
+Words are 64-bit hashes; a class is known by a 64-bit hash of its set, or by two where a second one shows that different
+sets share the first. Null texts stay null; a row without a doc_id counts as one of the least doc_id. Identical rows (doc_id
+and text) are one document. A line of any length is one set. An empty table gives an empty result. All other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, dropped, marked, written
-from grainmill.llm.partenum import SKETCH_BITS, plausible, sets, sketches
+from grainmill.llm.common import bitmap, chunks, dropped, marked, released, written
+from grainmill.llm.partenum import collisions, totals
 from grainmill.llm.words import Scan, mix
 
-LEAST, PERCENT, RARITY_BITS = 5, 80, 23
+LEAST, PERCENT, RARITY_BITS = 1, 80, 23
+BLOCK = 8192  # classes of a word that a task compares at once, or twice as many for a pair of blocks
+SMALL = 512  # classes of a word whose pairs are all compared in one sweep over many words
 _U = np.uint64
+_SLOTS = 1 << 13  # counters that travel together
 
 
 def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -48,268 +52,330 @@ def _count(bits: int):
         for batch in chunks(batches):
             slots = (Scan(batch.column("text"), lower=True).words() & _U((1 << bits) - 1)).astype(np.int64)
             np.add.at(counts, slots, 1)
-        for at in range(0, 1 << bits, 1 << 18):
-            slot = np.flatnonzero(counts[at : at + (1 << 18)])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot + at, pa.int32()), "n": counts[slot + at].astype(np.int64)})
+        step = min(_SLOTS, 1 << bits)
+        for at in range(0, 1 << bits, step):
+            if counts[at : at + step].any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([at // step], pa.int32()), "counts": pa.array([counts[at : at + step].tobytes()], pa.binary())})
 
     return run
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The summed counters of each part as levels; rows sorted by part."""
+
+    def out(part: int, total: np.ndarray) -> pa.RecordBatch:
+        level = np.minimum(255, 2 + np.floor(8 * np.log2(np.maximum(total, 2) / 2))).astype(np.uint8)
+        level[total < 2] = total[total < 2]
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+
+    now, total = None, None
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            own = np.frombuffer(counts, np.uint32).astype(np.uint64)
+            if part == now:
+                total += own
+            else:
+                if now is not None:
+                    yield out(now, total)
+                now, total = part, own
+    if now is not None:
+        yield out(now, total)
+
+
 def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
     """Of each slot of word hashes, how frequent its words are in all documents: 0 none, 1 once, from 2 on eighths of an octave.
 
     The counts are exact by slot; words that share one look more frequent than they are, which only changes the order
     (the same for all lines). The driver and each executor hold 2**bits bytes, whatever the input.
     """
-    counts = docs.select("text").mapInArrow(_count(bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    level = F.when(F.col("n") == 1, 1).otherwise(F.least(F.lit(255), 2 + F.floor(8 * F.log2(F.col("n") / 2)))).cast("int")
-    table = counts.select("slot", level.alias("level")).toArrow()  # at most 2**bits rows
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = docs.select("text").mapInArrow(_count(bits), "part int, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    table = counts.mapInArrow(_levels, "part int, levels binary").toArrow()  # 2**bits bytes at most
     levels = np.zeros(1 << bits, np.uint8)
-    levels[table.column("slot").to_numpy()] = table.column("level").to_numpy()
+    for part, own in zip(table.column("part").to_pylist(), table.column("levels").to_pylist(), strict=True):
+        levels[part * len(own) : (part + 1) * len(own)] = np.frombuffer(own, np.uint8)
     return levels
 
 
-class Lines:
-    """The classes of the lines of a batch: of each line row, place, size, class, sketch; and its words in order of rarity."""
-
-    def __init__(self, column: pa.Array, levels: np.ndarray, least: int):
-        lines, parent, place = split_lines(column)
-        scan = Scan(lines, lower=True)
-        words, owner = scan.words(), scan.doc
-        level = levels[(words & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
-        key = (level << _U(56)) | (words >> _U(8))
-        by = np.lexsort((key, owner))
-        owner, key, words = owner[by], key[by], words[by]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-        owner, self.key, words = owner[new], key[new], words[new]
-        n = len(lines)
-        self.size = np.bincount(owner, minlength=n)
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, owner, mix(words))
-        self.cls = mix(total + self.size.astype(np.uint64)).view(np.int64)
-        sketch = np.zeros(n, np.uint64)
-        np.bitwise_xor.at(sketch, owner, _U(1) << (words & _U(63)))
-        self.sketch = sketch.view(np.int64)
-        self.parent, self.place, self.used = parent, place, self.size >= least
-        self.first = np.cumsum(self.size) - self.size
+def _hashed(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = size.astype(np.uint64)
+    return tuple(mix(totals(mix(words + _U(seed)), size) + n).view(np.int64) for seed in (0, 0xA5A5A5A5A5A5A5A5))
+
+
+def _named(one: np.ndarray, two: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The classes: the first hash, or both for those that different sets are known to share."""
+    return np.where(np.isin(one, shared), mix(one.view(np.uint64) + mix(two.view(np.uint64))).view(np.int64), one) if len(shared) else one
+
+
+def _distinct(lines: pa.Array, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word, key) of the distinct words of each line, by line and by key: the word's hash, or with levels its rarity and hash."""
+    scan = Scan(lines, lower=True)
+    words, owner = scan.words(), scan.doc
+    key = words
+    if levels is not None:
+        key = (levels[(words & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (words >> _U(8))
+    by = np.lexsort((key, owner))
+    owner, key, words = owner[by], key[by], words[by]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    return owner[new], words[new], key[new]
 
 
 def _measure(shared, least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
+        # a task sends a class to the join once, and again for an earlier line, so copies don't fill the exchange
+        seen: dict[int, list[int]] = {}
         for batch in chunks(batches):
-            x = Lines(batch.column("text"), levels, least)
-            use = np.flatnonzero(x.used)
-            length = x.size[use] - (percent * x.size[use] + 99) // 100 + 1
-            length[100 * x.size[use] < percent * (x.size[use] + 1)] = 0  # a set so small is near to equal ones alone, its class
+            lines, parent, place = split_lines(batch.column("text"))
+            owner, words, key = _distinct(lines, levels)
+            size = np.bincount(owner, minlength=len(lines))
+            cls, second = _hashed(words, size)
+            sketch = np.zeros(len(lines), np.uint64)
+            np.bitwise_xor.at(sketch, owner, _U(1) << (words & _U(63)))
+            use = np.flatnonzero((size >= least) & (size > 0))
+            new = np.zeros(len(use), bool)
+            doc = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()[parent[use]]
+            for k, (c, *here) in enumerate(zip(cls[use].tolist(), doc.tolist(), place[use].tolist(), strict=True)):
+                if c not in seen or here < seen[c]:
+                    seen[c] = here
+                    new[k] = True
+            if len(seen) > 1_000_000:
+                seen.clear()
+            n = size[use]
+            length = n - (percent * n + 99) // 100 + 1
+            length[100 * n < percent * (n + 1)] = 0  # a set so small is near to equal ones alone, its class
+            length[~new] = 0
             ends = np.cumsum(length)
             at = np.arange(ends[-1] if len(ends) else 0)
-            keys = x.key[np.repeat(x.first[use] - ends + length, length) + at]
+            first = (np.cumsum(size) - size)[use]
+            keys = key[np.repeat(first - ends + length, length) + at]
             keep = keys >> _U(56) > _U(1)  # no other line has a word that occurs once
             which, spot = np.repeat(np.arange(len(use)), length)[keep], (at - np.repeat(ends - length, length) + 1)[keep]
-            keys, ends = keys[keep], np.cumsum(np.bincount(which, minlength=len(use)))
-            rows = pa.array(x.parent[use])
+            # the low bits give way to the place of the word, 255 for all from there on, which only weakens the filter
+            keys = (keys[keep] & ~_U(255)) | np.minimum(spot, 255).astype(np.uint64)
+            bounds = np.append(0, np.cumsum(np.bincount(which, minlength=len(use))))
+            rows = pa.array(parent[use])
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id").take(rows), "row": batch.column("row").take(rows), "place": pa.array(x.place[use], pa.int32()), "cls": x.cls[use],
-                    "n": pa.array(x.size[use], pa.int32()), "sketch": x.sketch[use],
-                    "prefix": pa.ListArray.from_arrays(bounds := pa.array(np.append(0, ends), pa.int32()), pa.array(keys.view(np.int64))),
-                    "spots": pa.ListArray.from_arrays(bounds, pa.array(spot, pa.int32())),
+                    "doc_id": batch.column("doc_id").take(rows), "row": batch.column("row").take(rows), "place": pa.array(place[use], pa.int32()), "c": cls[use], "c2": second[use],
+                    "n": pa.array(n, pa.int32()), "sketch": sketch[use].view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))),
                 }
             )
 
     return run
 
 
-SMALL = 512
-_ROW = ("word", "id", "shape", "sketch")  # shape: size and place of the word, 32 bits each
-
-
 def _allowed(n, at, m, to, differ, percent: int) -> np.ndarray:
     """Which pairs of sizes n, m with the word at these places (from 1) the length, positional and sketch filters let through."""
     total = n + m
     need = -(-percent * total // (100 + percent))
-    fit = 1 + np.minimum(n - at, m - to) >= need
+    fit = 1 + np.minimum(np.where(at < 255, n - at, n), np.where(to < 255, m - to, m)) >= need
     return fit & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.bitwise_count(differ.view(np.uint64)) <= total - 2 * need)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Whole buckets, of rows sorted by word."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        parts = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
-        held = parts if held is None else [np.concatenate(x) for x in zip(held, parts, strict=True)]
-        if len(held[0]) and (cut := int(np.searchsorted(held[0], held[0][-1]))):
-            yield [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
+_ROW = ("cell", "doc", "place", "c", "shape", "sketch", "open")  # shape: size and, in 8 bits, place of the word
 
 
-def _near(percent: int):
-    """Candidate pairs (a, b), a the earlier, of buckets sorted by word and id: all pairs of a small bucket, the first with each
-    other of a large one. The rows of large buckets come out too, with word not null."""
+def _cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Whole cells, many at once, of rows sorted by cell."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW])
+        if sum(len(h[0]) for h in held) >= rows:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(parts[0], parts[0][-1]))
+            held = [[x[cut:] for x in parts]]
+            rows = max(rows, 2 * len(held[0][0]))  # a cell may be longer than that
+            if cut:
+                yield [x[:cut] for x in parts]
+    if held and sum(len(h[0]) for h in held):
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _near(percent: int, width: int):
+    """(a, b, more): for each open class b of a cell its `width` earliest candidates, and whether it has others."""
+
+    def earliest(n, at, sketch, open_, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of the first width + 1 candidates j of each open i in a long cell."""
+        left, need, found = np.arange(lo, hi)[open_[lo:hi]], np.full(hi - lo, width + 1), []
+        for j in range(lo, hi):
+            left = left[(left > j) & (need[left - lo] > 0)]
+            if not len(left):
+                break
+            i = left[_allowed(n[left], at[left], n[j], at[j], sketch[left] ^ sketch[j], percent)]
+            need[i - lo] -= 1
+            found.append((i, np.full(len(i), j)))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, id_, shape, sketch in _runs(batches, _ROW):
-            n, at = shape >> 32, shape & 0xFFFFFFFF
-            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            length = np.diff(np.append(start, len(word)))
-            large = np.repeat(length > SMALL, length)
-            first = np.repeat(start, length)[large]
-            rest = np.flatnonzero(large)
-            i, j = first[first < rest], rest[first < rest]
-            ok = _allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)
-            found = [(id_[i[ok]], id_[j[ok]])]
+        for part in _cells(batches):
+            by = np.lexsort((part[2], part[1], part[3], part[0]))
+            part = [x[by] for x in part]
+            new = np.append(True, (part[0][1:] != part[0][:-1]) | (part[3][1:] != part[3][:-1]))  # of a class its earliest line
+            part = [x[new] for x in part]
+            by = np.lexsort((part[3], part[2], part[1], part[0]))
+            cell, _, _, c, shape, sketch, open_ = (x[by] for x in part)
+            n, at = shape >> 8, shape & 255
+            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            length = np.diff(np.append(start, len(cell)))
+            found = [earliest(n, at, sketch, open_, int(s), int(s + k)) for s, k in zip(start[length > SMALL], length[length > SMALL], strict=True)]
             left = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL), length))
             for step in range(1, SMALL):
-                left = left[left + step < len(word)]
-                left = left[word[left] == word[left + step]]
+                left = left[left + step < len(cell)]
+                left = left[cell[left] == cell[left + step]]
                 if not len(left):
                     break
-                i, j = left, left + step
+                j, i = left[open_[left + step]], left[open_[left + step]] + step
                 ok = _allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)
-                found.append((id_[i[ok]], id_[j[ok]]))
-            a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
-            pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], ["a", "b", "word", "shape", "sketch"])
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array(id_[rest]), pa.nulls(len(rest), pa.int64()), *(pa.array(x[rest]) for x in (word, shape, sketch))], ["a", "b", "word", "shape", "sketch"])
+                found.append((i[ok], j[ok]))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+            by = np.lexsort((j, i))
+            i, j = i[by], j[by]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(i)))
+            keep = np.arange(len(i)) - np.repeat(first, count) < width
+            yield pa.RecordBatch.from_pydict({"a": c[j[keep]], "b": c[i[keep]], "more": np.repeat(count > width, count)[keep]})
 
     return run
 
 
-def _rest(percent: int):
-    """Candidate pairs of the open rows of a bucket with all earlier ones but the first; rows sorted by word and id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, id_, shape, sketch, open_ in _runs(batches, (*_ROW, "open")):
-            n, at = shape >> 32, shape & 0xFFFFFFFF
-            start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            first = np.repeat(start, np.diff(np.append(start, len(word))))
-            found = []
-            for i in np.flatnonzero(open_).tolist():
-                for k in range(first[i] + 1, i, 200_000):
-                    j = np.arange(k, min(k + 200_000, i))
-                    j = j[_allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)]
-                    found.append((id_[j], np.full(len(j), id_[i])))
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate([none, *(f[0] for f in found)]), "b": np.concatenate([none, *(f[1] for f in found)])})
-
-    return run
-
-
-def _texts(least: int, shared):
-    """(cls, line) of the lines whose row and class the bitmaps have."""
+def _words(shared, odd: np.ndarray):
+    """(c, words) of the classes that the one bitmap has, from rows that the other has; a batch gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = shared.value
         for batch in chunks(b.filter(pa.array(marked(rows, b.column("row").to_numpy()))) for b in batches):
             lines, _, _ = split_lines(batch.column("text"))
-            owner, words, size, cls = _classes(lines)
-            hit = (size >= least) & marked(marks, cls)
+            owner, words, _ = _distinct(lines)
+            size = np.bincount(owner, minlength=len(lines))
+            cls = _named(*_hashed(words, size), odd)
+            hit = (size > 0) & marked(marks, cls)
             hit[np.flatnonzero(hit)] = np.isin(np.arange(int(hit.sum())), np.unique(cls[hit], return_index=True)[1])
-            order = np.cumsum(hit) - 1
-            mine = hit[owner]
-            drawn = sketches(order[owner[mine]], words[mine], int(hit.sum()), SKETCH_BITS)
-            yield pa.RecordBatch.from_pydict({"cls": cls[hit], "n": size[hit], "sketch": pa.array(drawn, pa.binary()), "line": lines.filter(pa.array(hit)).cast(pa.string())})
+            offsets = np.append(0, np.cumsum(8 * size[hit])).astype(np.int32)
+            sets = pa.Array.from_buffers(pa.binary(), int(hit.sum()), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words[hit[owner]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), sets], ["c", "words"])
 
     return run
 
 
-def _classes(lines: pa.Array):
-    """Rows, words, sizes and classes of lines, without their order of rarity."""
-    scan = Scan(lines, lower=True)
-    words, owner = scan.words(), scan.doc
-    by = np.lexsort((words, owner))
-    owner, words = owner[by], words[by]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])
-    owner, words = owner[new], words[new]
-    size = np.bincount(owner, minlength=len(lines))
-    total = np.zeros(len(lines), np.uint64)
-    np.add.at(total, owner, mix(words))
-    return owner, words, size, mix(total + size.astype(np.uint64)).view(np.int64)
-
-
 def _verify(percent: int):
+    """b of the pairs (b, words_a, words_b) that reach the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "line_a"):
-            one, two = (sets(batch.column(k), 1) for k in ("line_a", "line_b"))
-            owner, features = np.concatenate((one[0], two[0])), np.concatenate((one[1], two[1]))
-            order = np.lexsort((features, owner))
-            owner, features = owner[order], features[order]
-            both = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (features[1:] == features[:-1])], minlength=batch.num_rows)
-            yield batch.filter(pa.array(100 * both >= percent * (one[2] + two[2] - both))).select(["b"])
+        for batch in chunks(batches, "words_a"):
+            owner, words, sizes = [], [], []
+            for side in ("words_a", "words_b"):
+                own = batch.column(side).to_pylist()
+                sizes.append(np.array([len(x) // 8 for x in own], np.int64))
+                words.append(np.frombuffer(b"".join(own), np.uint64))
+                owner.append(np.repeat(np.arange(len(own)), sizes[-1]))
+            owner, words = np.concatenate(owner), np.concatenate(words)
+            order = np.lexsort((words, owner))
+            owner, words = owner[order], words[order]
+            both = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (words[1:] == words[:-1])], minlength=batch.num_rows)
+            yield batch.filter(pa.array(100 * both >= percent * (sizes[0] + sizes[1] - both))).select(["b"])
 
     return run
 
 
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST, rarity_bits: int = RARITY_BITS, bits: int = 24) -> DataFrame:
+def _confirmed(texts: DataFrame, lines: DataFrame, pairs: DataFrame, odd: np.ndarray, percent: int, bits: int) -> DataFrame:
+    """b of the pairs (a, b) of classes that reach the threshold, as c."""
+    spark = texts.sparkSession
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = written(lines.select("c", "row").join(wanted, "c").groupBy("c").agg(F.min("row").alias("row")), "wanted")
+    shared = spark.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "c", bits)))
+    found = texts.select("row", "text").mapInArrow(_words(shared, odd), "c long, words binary").join(wanted.select("c"), "c", "left_semi")
+    sets = written(found.dropDuplicates(["c"]), "words")
+    one, two = (sets.select(F.col("c").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
+    out = written(pairs.join(one, "a").join(two, "b").select("b", "words_a", "words_b").mapInArrow(_verify(percent), "b long").select(F.col("b").alias("c")).distinct(), "matched")
+    dropped(spark, wanted, sets)
+    released(spark)
+    return out
+
+
+def _postings(lines: DataFrame) -> DataFrame:
+    """A row for each word of a prefix: cell (the word, or one of a frequent word's pairs of blocks), doc, place, c, shape and sketch."""
+    each = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "place", "c", "n", "sketch", F.explode("prefix").alias("p"))
+    each = each.select(F.expr("p & ~255L").alias("cell"), "doc", F.col("place").cast("long").alias("place"), "c", (F.shiftleft(F.col("n").cast("long"), 8) + F.expr("p & 255L")).alias("shape"), "sketch")
+    # only words that occur so often in all lines can have so many classes: their level, the top byte, says it
+    least = 2 + int(8 * np.log2(BLOCK / 2)) - 1
+    often = lines.select(F.explode(F.filter("prefix", lambda p: F.shiftrightunsigned(p, 56) >= least)).alias("p")).groupBy(F.expr("p & ~255L").alias("word")).count()
+    often = written(often.filter(F.col("count") > BLOCK).select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "often")
+    if often.isEmpty():
+        return each
+    own = F.expr("cast(pmod(xxhash64(c), blocks) as int)")
+    split = each.join(often, F.col("cell") == F.col("word")).withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    split = split.withColumn("cell", F.xxhash64("word", F.least("own", "with"), F.greatest("own", "with"))).select(each.columns)
+    return each.join(often, F.col("cell") == F.col("word"), "left_anti").unionByName(split)
+
+
+def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST, rarity_bits: int = RARITY_BITS, bits: int = 22) -> DataFrame:
     """doc_id, row (a hash of the row) and removed, the places of its removed lines, of every document that loses lines."""
+    spark = docs.sparkSession
     texts = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    known = docs.sparkSession.sparkContext.broadcast(rarity(docs, rarity_bits))
-    schema = "doc_id long, row long, place int, cls long, n int, sketch long, prefix array<long>, spots array<int>"
+    known = spark.sparkContext.broadcast(rarity(docs, rarity_bits))
+    schema = "doc_id long, row long, place int, c long, c2 long, n int, sketch long, prefix array<long>"
     lines = written(texts.mapInArrow(_measure(known, least, percent), schema), "lines")
-    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = lines.groupBy("cls").agg(first, *(F.first(c).alias(c) for c in ("n", "sketch", "prefix", "spots")))
-    # ids that rise with the first line of each class: partitions of a range exchange are in order, and so are rows within
-    firsts = firsts.repartitionByRange(parts, "first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+    odd = collisions(lines)
+    if len(odd):
+
+        def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.set_column(3, "c", pa.array(_named(batch.column("c").to_numpy(), batch.column("c2").to_numpy(), odd)))
+
+        lines, before = written(lines.mapInArrow(renamed, lines.schema), "lines"), lines
+        dropped(spark, before)
+    each, parts = _postings(lines.filter(F.size("prefix") > 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, width, matched = each.withColumn("open", F.lit(True)), 1, None
+    while True:
+        near = rows.select(*_ROW).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_near(percent, width), "a long, b long, more boolean")
+        near = written(near, "near")
+        released(spark)
+        now = _confirmed(texts, lines, near.select("a", "b").distinct(), odd, percent, bits)
+        matched = now if matched is None else matched.unionByName(now)
+        left = written(near.filter("more").select(F.col("b").alias("c")).distinct().join(matched, "c", "left_anti"), "left")
+        dropped(spark, near)
+        if left.isEmpty():
+            break
+        width *= 64
+        some = each.join(left, "c", "left_semi").select("cell").distinct()
+        rows = each.join(some, "cell", "left_semi").join(left.withColumn("here", F.lit(True)), "c", "left").withColumn("open", F.col("here").isNotNull())
+    here = F.struct("doc_id", "place", "row")
+    firsts = lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = firsts.join(matched.distinct().withColumn("hit", F.lit(True)), "c", "left").filter("copies > 1 or hit")  # the others lose no line
     firsts = written(firsts, "classes")
-    each = firsts.select("id", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "sketch", F.explode(F.arrays_zip("prefix", "spots")).alias("p"))
-    each = each.select(F.col("p.prefix").alias("word"), "id", (F.col("n") + F.col("p.spots")).alias("shape"), "sketch")
-    near = each.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_near(percent), "a long, b long, word long, shape long, sketch long")
-    near = written(near, "pairs")
-    slim = written(lines.select("doc_id", "row", "place", "cls"), "lines")
-    dropped(docs.sparkSession, lines)
-    matched = _confirmed(texts, near.filter("word is null").select("a", "b").distinct(), firsts, least, percent, bits)
-    large = near.filter("word is not null").select("word", F.col("a").alias("id"), "shape", "sketch")
-    large = large.join(matched.select(F.col("b").alias("id"), F.lit(False).alias("no")), "id", "left").withColumn("open", F.col("no").isNull()).select(*_ROW, "open")
-    more = written(large.repartition(parts, "word").sortWithinPartitions("word", "id").mapInArrow(_rest(percent), "a long, b long").distinct(), "pairs")
-    matched = matched.unionByName(_confirmed(texts, more, firsts, least, percent, bits)).distinct().withColumnRenamed("b", "id")
-    dropped(docs.sparkSession, near)
-    matched = matched.join(firsts.select("id", "cls"), "id").select("cls")
-    # a line goes if it isn't the first of its class, or if an earlier class matches
-    gone = slim.join(firsts.select("cls", "first"), "cls").join(matched.withColumn("hit", F.lit(True)), "cls", "left")
-    here = F.struct("doc_id", "row", "place")
+    # classes of more than a hundred-thousandth of all lines, at most so many, are joined by broadcast: no task gets them whole
+    often = F.broadcast(firsts.filter(F.col("copies") > max(1000, lines.count() // 100_000)))
+    slim = lines.select("doc_id", "row", "place", "c")
+    gone = slim.join(often, "c").unionByName(slim.join(often.select("c"), "c", "left_anti").join(firsts, "c"))
     gone = gone.filter(F.col("hit").isNotNull() | ~here.eqNullSafe(F.col("first"))).select("doc_id", "row", "place").distinct()
-    return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("removed"))
-
-
-def _confirmed(texts: DataFrame, pairs: DataFrame, firsts: DataFrame, least: int, percent: int, bits: int) -> DataFrame:
-    """b of the pairs that reach the threshold: on sketches first, then on their lines' words."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(firsts.select("id", "cls", F.col("first.row").alias("row")), "id"), "wanted")
-    shared = texts.sparkSession.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "cls", bits)))
-    found = texts.select("row", "text").mapInArrow(_texts(least, shared), "cls long, n long, sketch binary, line string")
-    lines = found.join(wanted.select("id", "cls"), "cls").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "line")))
-    lines = written(lines, "texts")
-    pairs = written(plausible(pairs, lines.withColumnRenamed("id", "c"), percent), "pairs")
-    one, two = (lines.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    out = written(pairs.join(one, "a").join(two, "b").select("b", "line_a", "line_b").mapInArrow(_verify(percent), "b long").distinct(), "matched")
-    dropped(texts.sparkSession, wanted, lines, pairs)
+    out = written(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("removed")), "removed")
+    dropped(spark, lines, firsts)
+    released(spark)
     return out
 
 
+_DOC, _HASH, _GONE = "__grainmill_doc", "__grainmill_row", "__grainmill_removed"  # names of our own beside the caller's
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        removed = batch.column("_removed").to_pylist()
+        removed = batch.column(_GONE).to_pylist()
         for k, gone in enumerate(removed):
             if gone:
                 out = set(gone)
                 texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in out)
-        names = [n for n in batch.schema.names if n != "_removed"]
+        names = [n for n in batch.schema.names if n != _GONE]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, less the removed lines; n_chars, where there is one, follows the text."""
-    gone = written(removed_lines(docs, **options), "removed").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    held = docs.withColumn("_hash", F.xxhash64("doc_id", "text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
-    out = held.select(*docs.columns, "_removed").mapInArrow(_without, docs.schema)
+    gone = removed_lines(docs, **options).select(F.col("doc_id").alias(_DOC), F.col("row").alias(_HASH), F.col("removed").alias(_GONE))
+    held = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(_DOC)) & (F.xxhash64("doc_id", "text") == F.col(_HASH)), "left")
+    out = held.select(*docs.columns, _GONE).mapInArrow(_without, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

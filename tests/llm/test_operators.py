@@ -232,12 +232,13 @@ def brute_lines(rows, percent=80, least=5):
     return gone
 
 
-@pytest.mark.parametrize("small", [2, 512])
-def test_line_dedup(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block"), [(2, 8192), (512, 6)])
+def test_line_dedup(spark, monkeypatch, small, block):
     rows = corpus(11)
     gone = brute_lines(rows)
     monkeypatch.setattr(line_dedup, "SMALL", small)
-    out = line_dedup.line_dedup(table(spark, rows))
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    out = line_dedup.line_dedup(table(spark, random.Random(1).sample(rows, len(rows))), least=5)
     got = {r.doc_id: r for r in out.collect()}
     for i, t, _ in rows:
         want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
@@ -246,6 +247,22 @@ def test_line_dedup(spark, monkeypatch, small):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_lines_that_only_a_later_candidate_matches(spark):
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(300)]  # long lines, whose sketches rule nothing out
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for k in r.sample(range(300), r.randint(10, 45)):
+            w[k] = f"x{r.randint(0, 99)}"
+        texts.append(" ".join(w))
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    gone = brute_lines(rows, least=1)
+    docs = table(spark, rows[::-1]).selectExpr("*", "1 _doc", "2 _row", "'a' _hash", "3 _removed")
+    got = {x.doc_id: x for x in line_dedup.line_dedup(docs).collect()}
+    assert 10 < len(gone) < 58 and all(got[i].text == ("" if gone[i] else t) and (got[i]._doc, got[i]._hash) == (1, "a") for i, t, _ in rows)
+
+
 def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
     from grainmill.llm import queries
 
