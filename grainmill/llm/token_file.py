@@ -7,6 +7,10 @@ exception list of positions and high bits. After the blocks come the index of th
     "GMPFOR1\\0" block* block_start:u64[blocks] doc_id:i64[docs] doc_null:u8[docs] doc_end:u64[docs]
     footer: n_blocks:u64 n_docs:u64 n_ids:u64 index_at:u64 "GMPFOR1\\0"
     block: n:u32 minimum:u32 width:u8 n_exceptions:u32 packed:u8[ceil(n*width/8)] at:u32[] high:u32[]
+
+Null and empty texts have the end id alone. Rows that repeat a doc_id stand in the order of their texts; a null doc_id comes
+first. A text of any length is encoded whole, as a chunk of its own. An empty table gives an empty result. Columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -198,7 +202,8 @@ class WordCache:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
     The pre-tokenizer splits a text into words that the merges never cross, so equal words have equal ids. Texts of
-    printable Latin-1 are split here and each distinct word is encoded once; any other text goes to the library whole.
+    printable Latin-1 are split here and each distinct word is encoded once; any other text, and one that holds a special
+    token's string, goes to the library whole, so its ids are the library's own.
     """
 
     SAFE = bytes([10, *range(32, 127), *range(0xC0, 0x100)])
@@ -210,7 +215,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split, self.most = re.compile(self.WORD).findall, most
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: byte-level pieces have a character a byte
@@ -226,6 +231,8 @@ class WordCache:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.special):
+            return None
         try:
             odd = text.encode("latin-1").translate(None, self.SAFE)
         except UnicodeEncodeError:
