@@ -8,7 +8,7 @@ against the stored string, so colliding digests can't decide anything.
 A rule fits its host and all subdomains where the path starts with the rule's; the longest rule decides, of equally
 long ones that of the longer host. Without a rule, a URL is blocked if its host or a parent domain is listed, and
 allowed otherwise. Null URLs and URLs without :// have an empty host and path and are allowed. Hosts and paths may be
-of any length; repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
+of any length: suffixes longer than the longest listed host aren't probed, so work and memory follow a URL's length; repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from grainmill.llm.common import new_dir, open_fs
+from grainmill.llm.common import chunks, new_dir, open_fs
 
 BLOCK, ALLOW, LISTED = 0, 1, 2  # a rule's verdicts; a blocked domain
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,6 +63,7 @@ class DigestIndex:
         self.hosts = np.frombuffer(buffer, "<u4", n, at := at + 8 * n)
         self.kinds = np.frombuffer(buffer, "u1", n, at := at + 4 * n)
         self.blob = np.frombuffer(buffer, "u1", size, at + n)
+        self.longest = int(self.hosts.max(initial=0))  # no longer suffix of a host can be listed
 
     @classmethod
     def open(cls, uri: str) -> DigestIndex:
@@ -91,9 +92,12 @@ class DigestIndex:
         split = [split_url(u) for u in urls]
         probes, owner = [], []
         for i, (host, path) in enumerate(split):
-            labels = host.split(".")
-            for k in range(len(labels)):
-                suffix = ".".join(labels[k:])
+            at = len(host)
+            while at > 0:
+                at = host.rfind(".", 0, at)
+                if len(host) - at - 1 > self.longest:
+                    break
+                suffix = host[at + 1 :]
                 own = [suffix + path[:n] for n in self.lengths if len(path) >= n] if suffix else []
                 probes += own
                 owner += [i] * len(own)
@@ -130,7 +134,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: Ite
         if uri not in _open:
             _open.clear()
             _open[uri] = DigestIndex.open(uri)
-        for batch in batches:
+        for batch in chunks(batches, "url"):
             got = _open[uri].judge(batch.column("url").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([g[i] for g in got], pa.string()) for i in range(4))], ["page_id", "host", "path", "rule", "verdict"])
 
