@@ -2,25 +2,27 @@
 
 The fixed (base) patterns find e-mail addresses, IP addresses, card numbers and phone numbers: leftmost and not
 overlapping within a kind, a match that fails its check (octets, Luhn, digits) is dropped and not retried. These are
-the seeds. The words around a seed make lexical patterns, and all identifier-like tokens that stand in such a context
-are instances: edges of a pattern-instance graph. In each round a (pattern, kind) scores the share of its distinct
+the seeds. The words around a seed and its own written form (digits as 9, runs of letters as a) make lexical patterns, and
+all identifier-like tokens that fit one are instances: edges of a pattern-instance graph. In each round a (pattern, kind) scores the share of its distinct
 instances that are known to be of the kind; those with support and confidence are trusted, an unknown instance scores
 1 - prod(1 - confidence) over the trusted patterns it stands in, and accepted instances count as known in the next
 round, until a round accepts nothing new. At last every occurrence of an accepted identifier is a span of its kind, with
-or without words before it: two words since the match before are needed only to learn and score patterns.
+or without words before it: two words since the match before are needed only to learn and score patterns of context.
+An accepted instance must also pass its kind's check (octets, Luhn) or, as a phone, have 7 digits or more. So numbers are
+found that a base match swallowed and dropped, as two cards in a row, or that are written as no base pattern allows.
 
 An instance is a token without blanks or, for numbers written in groups ('555 123 4567'), several tokens between spaces.
-No kind has more than MOST digits, so groups are joined up to these. A whole run of groups, none of which could be a
+No kind has more than MOST digits, and a number is written in at most GROUPS groups. A whole run of groups, none of which could be a
 number on its own, is learned and scored as one instance; any part of a run can be an occurrence.
 
-Regular expressions are possessive or anchored at the start of a run, so no text makes them quadratic, and positions
-are summed in groups. Null text counts as empty. Rows that repeat a doc_id and text get equal rows; an empty table
+Regular expressions are possessive or anchored at the start of a run, positions are summed in groups, and tokens that
+overlap a seed are found by windows over sorted rows, so the work grows in proportion to a text's length. Null text counts as empty. Rows that repeat a doc_id and text get equal rows; an empty table
 gives an empty result; other columns are ignored. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import written
@@ -38,7 +40,7 @@ HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 TOKEN, TOKEN_HINT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+", r"[0-9@]"
 #: A group of digits that another can follow, and one that can follow another.
 INNER, OUTER = r"^[+(]{0,2}[0-9](?:[0-9().-]*[0-9)])?$", r"^\(?[0-9](?:[0-9().-]*[0-9)])?[\p{Punct}&&[^@+(-]]*$"
-NEAR, GROUP, LEAST_DIGITS, MOST = 80, 64, 7, 19
+NEAR, GROUP, LEAST_DIGITS, MOST, GROUPS = 80, 64, 7, 19, 6
 _SPAN = "array<struct<start:long,kind:int,end:long>>"
 
 
@@ -87,7 +89,8 @@ def _located(found: Column, pieces: Column) -> Column:
 
 
 def _grouped(steps: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / GROUP).cast("int")), lambda g: F.slice(steps, g * GROUP + 1, F.lit(GROUP)))
+    # get() takes an element at once, where slice() would copy the whole array each time
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / GROUP).cast("int")), lambda g: F.transform(F.sequence(g * GROUP, F.least(g * GROUP + GROUP, F.size(steps)) - 1), lambda i: F.get(steps, i)))
 
 
 def _placed(groups: Column) -> Column:
@@ -121,8 +124,9 @@ def _found(docs: DataFrame, name: str, pattern: str, hint: str) -> DataFrame:
     kind = "array<struct<token:string,left:string,right:string,start:long,end:long>>"
     docs = docs.withColumn(f"_f_{name}", F.when(F.col("text").rlike(hint), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(empty))
     docs = docs.withColumn(f"_p_{name}", F.when(F.size(f"_f_{name}") > 0, F.split("text", pattern, -1)).otherwise(empty))
-    docs = docs.withColumn(f"_s_{name}", F.when(F.size(f"_f_{name}") > 0, _grouped(_located(F.col(f"_f_{name}"), F.col(f"_p_{name}")))))
-    return docs.withColumn(name, F.when(F.col(f"_s_{name}").isNotNull(), _placed(F.col(f"_s_{name}"))).otherwise(F.array().cast(kind))).drop(f"_f_{name}", f"_p_{name}", f"_s_{name}")
+    docs = docs.withColumn(f"_l_{name}", _located(F.col(f"_f_{name}"), F.col(f"_p_{name}")))
+    docs = docs.withColumn(f"_s_{name}", F.when(F.size(f"_f_{name}") > 0, _grouped(F.col(f"_l_{name}"))))
+    return docs.withColumn(name, F.when(F.col(f"_s_{name}").isNotNull(), _placed(F.col(f"_s_{name}"))).otherwise(F.array().cast(kind))).drop(f"_f_{name}", f"_p_{name}", f"_l_{name}", f"_s_{name}")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -151,9 +155,9 @@ def _plausible(instance: Column, kind: Column) -> Column:
     digits = F.length(_digits(instance))
     return (
         F.when(kind == 0, F.contains(instance, F.lit("@")) & (F.length(instance) >= 5))
-        .when(kind == 1, (digits >= 4) & F.contains(instance, F.lit(".")))
-        .when(kind == 2, digits >= 12)
-        .otherwise(digits >= 7)
+        .when(kind == 1, instance.rlike(r"^[0-9]++(?:\.[0-9]++){3}$") & _valid("ip", instance))
+        .when(kind == 2, _valid("card", instance))
+        .otherwise(digits.between(LEAST_DIGITS, 15))
     )
 
 
@@ -175,15 +179,15 @@ def _parts(joined: str, fields: str) -> Column:
 
     def of(t: Column, i: Column) -> Column:
         def part(k: Column) -> Column:
-            own = F.slice(joined, i + 1, k)
+            own = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.get(joined, i + x))
             digits = F.aggregate(own, F.lit(0), lambda n, x: n + x["digits"])
             alone = F.exists(own, lambda x: x["digits"] >= LEAST_DIGITS)
             last = F.get(joined, i + k - 1)
             whole = ~t["goes_on"] & ~next_on(i + k) & ~alone
             return F.struct(F.array_join(F.transform(own, lambda x: x["token"]), " "), t["left"], last["right"], t["start"], last["end"], F.lit(None).cast("int"), whole, digits)
 
-        # a part ends where the run does, or before its digits are more than MOST
-        length = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(MOST)), lambda k: ~next_on(i + k))), F.lit(MOST))
+        # a part ends where the run does, or after GROUPS groups
+        length = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(GROUPS)), lambda k: ~next_on(i + k))), F.lit(GROUPS))
         parts = F.transform(F.sequence(F.lit(2), length), part)
         kept = F.filter(parts.cast(f"array<{fields[:-1]},digits:int>>"), lambda x: x["digits"].between(LEAST_DIGITS, MOST))
         return F.when(next_on(i + 1), kept.cast(f"array<{fields[:-1]},digits:int>>"))
@@ -194,7 +198,7 @@ def _parts(joined: str, fields: str) -> Column:
 def occurrences(found: DataFrame) -> DataFrame:
     """A row for each seed and for each identifier-like instance beside them: doc_id, row, start, end, instance, kind, patterns.
 
-    patterns is empty where fewer than two words stand between the match before and this one.
+    patterns has no context where fewer than two words stand between the match before and this one.
     """
     fields = "struct<token:string,left:string,right:string,start:long,end:long,kind:int,whole:boolean>"
 
@@ -204,18 +208,26 @@ def occurrences(found: DataFrame) -> DataFrame:
     seeds = F.concat(*(of(k) for k in KINDS))
     some = found.filter(F.size("tokens") > 0).withColumn("seeds", seeds).withColumn("joined", _joined("tokens"))
     some = some.withColumn("parts", _parts("joined", fields))
-    apart = lambda t: ~F.exists("seeds", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    parts = F.transform(F.filter("parts", apart), lambda t: t.dropFields("digits").cast(fields))
-    free = F.filter("tokens", apart)
-    free = F.transform(free, lambda t: F.struct(t["token"], t["left"], t["right"], t["start"], t["end"], F.lit(None).cast("int"), F.lit(True)).cast(fields))
+    parts = F.transform("parts", lambda t: t.dropFields("digits").cast(fields))
+    free = F.transform("tokens", lambda t: F.struct(t["token"], t["left"], t["right"], t["start"], t["end"], F.lit(None).cast("int"), F.lit(True)).cast(fields))
     each = some.select("doc_id", "row", F.explode(F.concat("seeds", free, parts)).alias("o")).select("doc_id", "row", "o.*")
-    edge = "[\\p{Punct}]+"
-    own = F.lower(F.regexp_replace("token", f"^(?!\\+){edge}|{edge}$", ""))
+    # of the others, those that overlap no seed: the seeds up to a start end before it, the next one starts at its end or later
+    text = Window.partitionBy("doc_id", "row")
+    seed = F.col("kind").isNotNull()
+    each = each.withColumn("to", F.max(F.when(seed, F.col("end"))).over(text.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)))
+    each = each.withColumn("next", F.min(F.when(seed, F.col("start"))).over(text.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)))
+    each = each.filter(seed | ((F.coalesce("to", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))).drop("to", "next")
+    edge = r"[\p{Punct}]"
+    own = F.lower(F.regexp_replace("token", rf"^(?!\+){edge}+|(?<!{edge}){edge}++$", ""))
     before = F.regexp_extract_all(F.lower("left"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     after = F.regexp_extract(F.lower("right"), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
     last = F.try_element_at("b", F.lit(-1))
     patterns = F.array(F.concat_ws(" ", F.try_element_at("b", F.lit(-2)), last, F.lit("_")), F.concat_ws(" ", last, F.lit("_"), after))
     patterns = F.when((F.size("b") > 1) & F.col("whole"), patterns).otherwise(F.array().cast("array<string>"))
+    form = F.regexp_replace(F.regexp_replace("instance", "[0-9]", "9"), r"\p{L}++", "a")
+    # the form of a long token says nothing, and that of a token of few digits says too little
+    formed = (F.length("instance") <= 40) & (F.length(_digits(F.col("instance"))) >= LEAST_DIGITS)
+    patterns = F.concat(patterns, F.when(formed, F.array(F.concat(F.lit("form "), form))).otherwise(F.array().cast("array<string>")))
     return each.withColumn("instance", own).withColumn("b", before).filter(F.col("instance") != "").select("doc_id", "row", "start", "end", "kind", "instance", patterns.alias("patterns"))
 
 

@@ -117,9 +117,8 @@ def test_token_blocks():
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
-    rows = [*corpus(), (8000, "日本 été 12's \t<|endoftext|> x", None), (None, "no id", None)]
+    rows = [*corpus(), (8000, "日本 été 12's \t<|endoftext|> x", None), (8001, "a<|endoftext|>b", None), (None, "no id", None)]
     tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = token_file.token_ids(table(spark, rows).repartition(3), tokenizer_path("byte_bpe_50k.json")).collect()
     want, at = {}, 0
     for i, t, _ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -346,6 +345,38 @@ def test_every_occurrence_of_an_accepted_identifier(spark):
     }
 
 
+def luhn(head):
+    return next(head + c for c in "0123456789" if valid("card", head + c))
+
+
+def test_forms_discover_what_a_base_match_swallowed(spark):
+    r = random.Random(8)
+    cards = [luhn("".join(r.choice("123456789") for _ in range(15))) for _ in range(44)]
+    phones = [f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}" for _ in range(42)]
+    word = lambda: "".join(r.choice("abcdef") for _ in range(6))
+    rows = [(i, f"{word()} {word()} {x} {word()}", None) for i, x in enumerate(cards[:40] + phones[:40])]
+    bad = cards[40][:-1] + str((int(cards[40][-1]) + 1) % 10)
+    rows += [(100, f"x {cards[41]} {cards[42]} y", None), (101, f"{phones[40]} 10.20.30.40", None), (102, f"a {bad} b", None), (103, f"order {cards[43][:12]} z", None)]
+    got = {x.doc_id: x for x in pii.personal_data(table(spark, rows)).collect()}
+    assert got[100].base_spans == "" and got[100].spans == "card:2:18,card:19:35"
+    assert got[101].base_spans == "ip:18:29" and got[101].spans == "phone:0:17,ip:18:29"
+    assert got[102].spans == got[103].spans == "" and sum(x.n_found for x in got.values()) == 3
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        texts = ["a@b.c " * n, "7" + "-" * n + "x", "1.2.3.4 " * n, "+1 " * n, "word " * n, "4111 1111 1111 1111, " * (n // 4), "1 " * n]
+        rows = [(i, t, None) for i, t in enumerate(texts)]
+        began = time.time()
+        assert pii.personal_data(table(spark, rows)).count() == len(rows)
+        return time.time() - began
+
+    took(10)
+    assert took(40_000) < 90
+
+
 def test_rounds_go_on_while_they_accept(spark):
     rows = [(i, f"x alpha one +1 867 {100_0000 + i} end", None) for i in range(1000)]
     for k, n in enumerate((100, 10, 1)):  # what a step's pattern accepts makes the next one trusted
@@ -413,6 +444,19 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages.limit(0), URL_RULES, URL_BLOCKED).count() == 0
 
 
+def test_hosts_of_many_labels_take_memory_in_proportion():
+    import tracemalloc
+
+    index = url_filter.DigestIndex(url_filter.build([("a.com", "", 2), ("com", "/x", 0), ("b.a.com", "/y", 1)]))
+    url = "http://" + "l." * 50_000 + "b.a.com/y"
+    tracemalloc.start()
+    assert index.judge([url, "http://..a.com./x", "http://a.com", "http://.com/x", "http://com/xy"]) == [
+        ("l." * 50_000 + "b.a.com", "/y", "b.a.com/y", "allow"), ("..a.com.", "/x", None, "allow"), ("a.com", "", None, "block"), (".com", "/x", "com/x", "block"), ("com", "/xy", "com/x", "block"),
+    ]
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
 def test_colliding_digests_decide_nothing():
     weak = lambda s: len(s) % 3
     index = url_filter.DigestIndex(url_filter.build([("a.com", "", 2), ("b.org", "", 2), ("net", "/x", 0)], weak), weak)
