@@ -94,8 +94,9 @@ def _rates() -> dict[str, Column]:
 
 def fences(passed: DataFrame, *, least: int, reach: float, k: int) -> DataFrame:
     """A row for each (lang, source): the bounds of each rate, from merged sketches where the group is small."""
-    own = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATES))
-    by_lang = own.groupBy("lang").agg(F.sum("n").alias("lang_n"), *(F.kll_merge_agg_double(r, F.lit(k)).alias(f"lang_{r}") for r in RATES))
+    # a sketch depends on random bits, so it is made once and written: what reads it again, after a lost executor too, sees the same
+    own = written(passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATES)), "sketches")
+    by_lang = written(own.groupBy("lang").agg(F.sum("n").alias("lang_n"), *(F.kll_merge_agg_double(r, F.lit(k)).alias(f"lang_{r}") for r in RATES)), "sketches")
     by_all = by_lang.agg(*(F.kll_merge_agg_double(f"lang_{r}", F.lit(k)).alias(r) for r in RATES)).first()  # a sketch a rate
     groups = own.join(by_lang.withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2")))
     bounds = []
