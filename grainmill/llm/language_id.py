@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import chunks
+from grainmill.llm.common import chunks, written
 
 SIZE = 300
 UNKNOWN = "und"
@@ -90,9 +90,16 @@ def held_out(doc_id: Column) -> Column:
 def _lessons(docs: DataFrame, sample: int) -> DataFrame:
     """lang, doc_id and text of the learning documents."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("lang", "doc_id").distinct()
-    return known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")  # `sample` ids a language
+    # hashes spread evenly, so those below 4 * sample / n hold the least `sample` of a language's n documents and about 4 times
+    # as many: no task ranks a whole language; should a language have too few below it, it learns from those
+    near = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    share = F.shiftrightunsigned("h", 1).cast("double") / float(1 << 63)
+    near = near.join(near.groupBy("lang").agg(F.count(F.lit(1)).alias("of")), "lang").filter(share * F.col("of") <= 4 * sample)
+    first = Window.partitionBy("lang").orderBy(share, "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("lang", "doc_id").distinct()
+    chosen = written(chosen, "lessons")
+    small = chosen.count() <= 200_000  # at most `sample` ids a language, but languages may be many
+    return known.join(F.broadcast(chosen) if small else chosen, ["lang", "doc_id"], "left_semi")
 
 
 def learn(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Profiles:
