@@ -92,6 +92,13 @@ def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE
     return links.join(name.withColumnRenamed("id", "a"), "key").join(name.select(F.col("key").alias("k2"), F.col("id").alias("b")), "k2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
+def classes(df: DataFrame, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
+    """id and class_id of each record with a word, class_id being the first of the records whose shingles are equal: the member that exact_pairs() names."""
+    sets = stored(shingled(df, size, prefix).select("id", "seq", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("key")))
+    first = sets.groupBy("key").agg(F.min(F.struct("seq", "id")).alias("first")).select("key", F.col("first.id").alias("class_id"))
+    return sets.join(first, "key").select("id", "class_id")
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) of the nodes of links(a, b), label the least node reachable, by alternating stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())

@@ -102,27 +102,28 @@ def auto_split(df: DataFrame, validation: float, test: float, seed: int = 42) ->
     """Assign splits in the order of a seeded hash of the id: validation, test, then train.
 
     Counts of the hash's first four digits place the cuts; only records of the two groups that a cut falls in are ranked.
+    A null id counts as an empty one; records that repeat an id each keep their row, in any order among themselves.
     """
     total = df.count()
     n_val, n_test = split_sizes(total, validation, test)
-    hashed = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}")))
-    df_ = df.withColumn("_h", hashed).withColumn("_b", F.left("_h", F.lit(4)))
+    key, group, rank = "__grainmill_key", "__grainmill_group", "__grainmill_rank"  # names of our own beside the record's columns
+    keyed = df.withColumn(key, F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"|{seed}")))).withColumn(group, F.left(key, F.lit(4)))
     before, cuts = 0, {}
-    for row in sorted(df_.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()):  # at most 65536 rows
+    for row in sorted(keyed.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most 65536 rows
         for cut in (n_val, n_val + n_test):
             if before < cut <= before + row.n:
-                cuts[cut] = (row._b, cut - before)
+                cuts[cut] = (row[group], cut - before)
         before += row.n
 
     def below(cut: int) -> Column:
         if cut <= 0:
             return F.lit(False)
-        bucket, rank = cuts[cut]
-        return (F.col("_b") < bucket) | ((F.col("_b") == bucket) & (F.col("_n") <= rank))
+        at, last = cuts[cut]
+        return (F.col(group) < at) | ((F.col(group) == at) & (F.col(rank) <= last))
 
-    edge = df_.filter(F.col("_b").isin(*{b for b, _ in cuts.values()})) if cuts else df_.limit(0)
-    ranked = edge.select("id", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "id")).alias("_n"))
-    out = df_.join(ranked, "id", "left")
+    edge = F.col(group).isin(*{g for g, _ in cuts.values()}) if cuts else F.lit(False)
+    ranked = keyed.filter(edge).withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(key, "id")))
+    out = keyed.filter(~edge).withColumn(rank, F.lit(0)).unionByName(ranked)
     return out.withColumn("split", F.when(below(n_val), "validation").when(below(n_val + n_test), "test").otherwise("train")).select(df.columns)
 
 

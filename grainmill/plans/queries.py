@@ -75,8 +75,12 @@ def exact_dup_kept(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
-    """Pairs of distinct shingle sets, each under its first document."""
-    return dedup.exact_pairs(_documents(spark, sf_dir))
+    """Pairs of class representatives, over whole texts; near_dup_members tells whom they stand for."""
+    return dedup.exact_pairs(_documents(spark, sf_dir), prefix=None)
+
+
+def near_dup_members(spark, sf_dir):
+    return dedup.classes(_documents(spark, sf_dir), prefix=None)
 
 
 def near_dup_groups(spark, sf_dir):
@@ -204,7 +208,7 @@ EXPORT = [_export(f) for f in ("canonical", "axolotl", "trl", "llama-factory", "
 def queries() -> dict:
     plain = (
         conv_quality_scores, conv_quality_summary, conv_issue_counts, doc_issue_counts, conv_role_counts, conv_overview, split_counts, split_members, filter_search_page, token_estimates,
-        token_histogram, exact_dup_groups, exact_dup_kept, near_dup_pairs, near_dup_groups, decontam_hits, pii_flags, pii_masked, refusal_flags, clean_whitespace, clean_all, quality_label_agreement,
+        token_histogram, exact_dup_groups, exact_dup_kept, near_dup_pairs, near_dup_members, near_dup_groups, decontam_hits, pii_flags, pii_masked, refusal_flags, clean_whitespace, clean_all, quality_label_agreement,
         text_chunks, qa_pairs, convert_alpaca, convert_dpo, convert_kto, convert_sharegpt, detect_formats, llm_judge_fake,
     )
     return {f.__name__: f for f in (*plain, *RENDER, *EXPORT)}
@@ -319,10 +323,13 @@ def oracle_sql() -> dict[str, str]:
         "token_histogram": "WITH e(edge, low) AS (VALUES (256, -1), (512, 256), (1024, 512), (2048, 1024), (4096, 2048), (8192, 4096), (NULL, 8192)), t AS (SELECT 4 + ceil(length(coalesce(text, '')) / 4.0) AS k FROM documents) SELECT e.edge, count(t.k) AS n FROM e LEFT JOIN t ON t.k > e.low AND (e.edge IS NULL OR t.k <= e.edge) GROUP BY 1",
         "exact_dup_groups": f"SELECT min(doc_id)::VARCHAR AS keep_id, count(*) AS n FROM (SELECT doc_id, {_norm('text')} AS t FROM documents) WHERE t <> '' GROUP BY t HAVING count(*) > 1",
         "exact_dup_kept": f"SELECT doc_id::VARCHAR AS id FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM (SELECT doc_id, {_norm('text')} AS t FROM documents)) WHERE t = '' OR k = 1",
-        "near_dup_pairs": f"""WITH t AS (SELECT doc_id, {_WORDS.format("substr(" + _norm("text") + ", 1, 2000)")} AS w FROM documents),
+        "near_dup_pairs": f"""WITH t AS (SELECT doc_id, {_WORDS.format(_norm("text"))} AS w FROM documents),
 s AS (SELECT min(doc_id) AS id, g FROM (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN {_GRAM.format(3)} ELSE [array_to_string(w, ' ')] END)) AS g FROM t WHERE len(w) > 0) GROUP BY g),
 x AS (SELECT id, len(g) AS n, unnest(g) AS f FROM s), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM x a JOIN x b ON a.f = b.f AND a.id < b.id GROUP BY ALL)
 SELECT least(a::VARCHAR, b::VARCHAR) AS a, greatest(a::VARCHAR, b::VARCHAR) AS b, k::DOUBLE / (na + nb - k) AS similarity FROM p WHERE k::DOUBLE / (na + nb - k) >= 0.85""",
+        "near_dup_members": f"""WITH t AS (SELECT doc_id, {_WORDS.format(_norm("text"))} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN {_GRAM.format(3)} ELSE [array_to_string(w, ' ')] END)) AS g FROM t WHERE len(w) > 0)
+SELECT doc_id::VARCHAR AS id, min(doc_id) OVER (PARTITION BY g)::VARCHAR AS class_id FROM s""",
         "decontam_hits": f"""WITH b AS (SELECT {_WORDS.format("text")} AS w FROM benchmark), bg AS (SELECT DISTINCT unnest({_GRAM.format(13)}) AS gram FROM b WHERE len(w) >= 13),
 d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), dg AS (SELECT doc_id, unnest({_GRAM.format(13)}) AS gram, unnest(range(0, len(w) - 12)) AS pos FROM d WHERE len(w) >= 13)
 SELECT doc_id::VARCHAR AS id, 'benchmark' AS benchmark, arg_min(gram, pos) AS gram, min(pos)::INT AS "at" FROM dg JOIN bg USING (gram) GROUP BY doc_id""",

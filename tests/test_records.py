@@ -221,3 +221,15 @@ def test_model_calls_are_cached_and_retried(spark):
     again = generate.run_batch(requests.filter("id = 'r0'"), lambda m: 1 / 0, cache=good)
     assert [r.error for r in again.collect()] == [None]
     assert generate.strict_json("```json\n[1]\n```") == [1] and generate.strict_json("none") is None
+
+
+def test_split_keeps_every_row(spark):
+    from grainmill.operators import filters
+
+    ids = [None, None] + [str(i % 40) for i in range(300)]
+    df = spark.createDataFrame([(x, "train", 1, 2) for x in ids], "id string, split string, _h int, _n int")
+    got = filters.auto_split(df, 0.1, 0.1)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert sorted(str(r.id) for r in rows) == sorted(map(str, ids))
+    assert sum(r.split == "validation" for r in rows) == sum(r.split == "test" for r in rows) == 30
