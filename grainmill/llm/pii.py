@@ -4,7 +4,7 @@ The fixed (base) patterns find e-mail addresses, IP addresses, card numbers and
 overlapping within a kind, a match that fails its check (octets, Luhn, digits) is dropped and not retried. These are
 the seeds. The words around a seed and its own written form (digits as 9, runs of letters as a) make lexical patterns, and
 all identifier-like tokens that fit one are instances: edges of a pattern-instance graph. In each round a (pattern, kind) scores the share of its distinct
-instances that are known to be of the kind; those with support and confidence are trusted, an unknown instance scores
+instances, of those that pass the kind's check, that are known to be of the kind; those with support and confidence are trusted, an unknown instance scores
 1 - prod(1 - confidence) over the trusted patterns it stands in, and accepted instances count as known in the next
 round, until a round accepts nothing new. At last every occurrence of an accepted identifier is a span of its kind, with
 or without words before it: two words since the match before are needed only to learn and score patterns of context.
@@ -242,12 +242,15 @@ def bootstrap(seen: DataFrame, *, rounds: int | None = None, support: int = 5, c
     seeds = seen.filter("kind is not null").select("instance").distinct()
     graph = written(edges.filter("kind is null").select("pattern", "instance").join(seeds, "instance", "left_anti"), "graph")
     first = edges.filter("kind is not null").select("pattern", "instance", "kind")
-    total = written(first.select("pattern", "instance").unionByName(graph).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "total")
+    # against a kind stand only instances that could be of it: a number that fails Luhn says nothing about cards
+    nodes = first.select("pattern", "instance").unionByName(graph).distinct()
+    could = nodes.select("*", F.explode(F.array(*(F.lit(k) for k in range(len(KINDS))))).alias("kind")).filter(_plausible(F.col("instance"), F.col("kind")))
+    total = written(could.unionByName(first).distinct().groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")), "total")
     accepted = seen.sparkSession.createDataFrame([], "instance string, kind int")
     while rounds is None or rounds > 0:
         known = first.unionByName(graph.join(accepted, "instance").select("pattern", "instance", "kind"))
         right = known.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= support)
-        trusted = right.join(total, "pattern").withColumn("conf", F.col("hits") / F.col("n")).filter(F.col("conf") >= confidence).select("pattern", "kind", "conf")
+        trusted = right.join(total, ["pattern", "kind"]).withColumn("conf", F.col("hits") / F.col("n")).filter(F.col("conf") >= confidence).select("pattern", "kind", "conf")
         open_ = graph.join(accepted.select("instance"), "instance", "left_anti")
         scored = open_.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("score"))
         scored = scored.filter((F.col("score") >= accept) & _plausible(F.col("instance"), F.col("kind")))
