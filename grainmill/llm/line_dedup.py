@@ -279,11 +279,11 @@ def _verify(percent: int):
     return run
 
 
-def _confirmed(texts: DataFrame, lines: DataFrame, pairs: DataFrame, odd: np.ndarray, percent: int, bits: int) -> DataFrame:
+def _confirmed(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, odd: np.ndarray, percent: int, bits: int) -> DataFrame:
     """b of the pairs (a, b) of classes that reach the threshold, as c."""
     spark = texts.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = written(lines.select("c", "row").join(wanted, "c").groupBy("c").agg(F.min("row").alias("row")), "wanted")
+    wanted = written(firsts.select("c", F.col("first.row").alias("row")).join(wanted, "c"), "wanted")
     shared = spark.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "c", bits)))
     found = texts.select("row", "text").mapInArrow(_words(shared, odd), "c long, words binary").join(wanted.select("c"), "c", "left_semi")
     sets = written(found.dropDuplicates(["c"]), "words")
@@ -326,13 +326,15 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
 
         lines, before = written(lines.mapInArrow(renamed, lines.schema), "lines"), lines
         dropped(spark, before)
+    here = F.struct("doc_id", "place", "row")
+    firsts = written(lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     each, parts = _postings(lines.filter(F.size("prefix") > 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, width, matched = each.withColumn("open", F.lit(True)), 1, None
     while True:
         near = rows.select(*_ROW).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_near(percent, width), "a long, b long, more boolean")
         near = written(near, "near")
         released(spark)
-        now = _confirmed(texts, lines, near.select("a", "b").distinct(), odd, percent, bits)
+        now = _confirmed(texts, firsts, near.select("a", "b").distinct(), odd, percent, bits)
         matched = now if matched is None else matched.unionByName(now)
         left = written(near.filter("more").select(F.col("b").alias("c")).distinct().join(matched, "c", "left_anti"), "left")
         dropped(spark, near)
@@ -341,9 +343,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
         width *= 64
         some = each.join(left, "c", "left_semi").select("cell").distinct()
         rows = each.join(some, "cell", "left_semi").join(left.withColumn("here", F.lit(True)), "c", "left").withColumn("open", F.col("here").isNotNull())
-    here = F.struct("doc_id", "place", "row")
-    firsts = lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.join(matched.distinct().withColumn("hit", F.lit(True)), "c", "left").filter("copies > 1 or hit")  # the others lose no line
+    all_, firsts = firsts, firsts.join(matched.distinct().withColumn("hit", F.lit(True)), "c", "left").filter("copies > 1 or hit")  # the others lose no line
     firsts = written(firsts, "classes")
     # classes of more than a hundred-thousandth of all lines, at most so many, are joined by broadcast: no task gets them whole
     often = F.broadcast(firsts.filter(F.col("copies") > max(1000, lines.count() // 100_000)))
@@ -351,7 +351,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     gone = slim.join(often, "c").unionByName(slim.join(often.select("c"), "c", "left_anti").join(firsts, "c"))
     gone = gone.filter(F.col("hit").isNotNull() | ~here.eqNullSafe(F.col("first"))).select("doc_id", "row", "place").distinct()
     out = written(gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("place")).alias("removed")), "removed")
-    dropped(spark, lines, firsts)
+    dropped(spark, lines, all_, firsts)
     released(spark)
     return out
 
