@@ -387,6 +387,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
     released(spark)
     wanted = members.select("c").distinct()
     marks = spark.sparkContext.broadcast(bitmap(classes.join(wanted, "c", "left_semi"), "row", 24))
+    released(spark)  # again: what a listener of the last query still held can go now
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (b.filter(pa.array(marked(marks.value, b.column("row").to_numpy()))) for b in batches)
@@ -397,13 +398,15 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
 
     drawn = texts.select("row", "text").mapInArrow(draw, "c long, n long, sketch binary, text string")
     known = written(drawn.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "candidates")
+    released(spark)
 
     def decided(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()  # so that only their texts are moved
-        some = written(known.select("c", "text").join(asked, "c", "left_semi"), "texts")
+        if pairs.count() <= 200_000:
+            asked = F.broadcast(asked)  # at most 400,000 numbers
+        some = known.select("c", "text").join(asked, "c", "left_semi")
         one, two = (some.select(F.col("c").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         out = written(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"), "links")
-        dropped(spark, some)
         released(spark)
         return out
 
@@ -422,6 +425,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
     cells = members.select("sig", "c").join(open_, "sig").join(known.select("c", "n", "sketch"), "c")
     cells = written(cells.withColumn("block", F.expr("cast(pmod(xxhash64(c), blocks) as int)")), "cells")
     dropped(spark, members, star)
+    released(spark)
     alone = cells.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     across = cells.filter("blocks > 1").select("*", other).filter("with <> block").withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with"))
@@ -435,6 +439,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
                 now = now.unionByName(refused.select(*cell, F.col("a").alias("c"), F.col("b").alias("other"), *none))
             found = now.repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(_undecided(percent, width), "sig long, lo int, hi int, a long, b long")
             found = written(found, "pairs")
+            released(spark)
             if found.isEmpty():
                 break
             more = decided(written(found.select("a", "b").distinct(), "pairs"))
