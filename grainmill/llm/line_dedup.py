@@ -285,8 +285,10 @@ def _confirmed(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, odd: np.nd
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = written(firsts.select("c", F.col("first.row").alias("row")).join(wanted, "c"), "wanted")
     shared = spark.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "c", bits)))
+    released(spark)  # again: what a listener of the last query still held can go now
     found = texts.select("row", "text").mapInArrow(_words(shared, odd), "c long, words binary").join(wanted.select("c"), "c", "left_semi")
     sets = written(found.dropDuplicates(["c"]), "words")
+    released(spark)
     one, two = (sets.select(F.col("c").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
     out = written(pairs.join(one, "a").join(two, "b").select("b", "words_a", "words_b").mapInArrow(_verify(percent), "b long").select(F.col("b").alias("c")).distinct(), "matched")
     dropped(spark, wanted, sets)
@@ -328,6 +330,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
         dropped(spark, before)
     here = F.struct("doc_id", "place", "row")
     firsts = written(lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    released(spark)
     each, parts = _postings(lines.filter(F.size("prefix") > 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows, width, matched = each.withColumn("open", F.lit(True)), 1, None
     while True:
