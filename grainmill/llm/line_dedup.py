@@ -7,8 +7,8 @@ among them, stay and remove nothing; with a `least` of 1 every line with a word
 Equal sets are one class, known by its first line. The words of a class are ordered by rarity, from counts over all
 documents. Two sets that reach the threshold share a word among their first few (the prefix); words that occur once can't
 be it. Classes that share such a word are candidates if sizes (length filter), places of the word (positional filter) and a
-parity sketch of 64 bits, whose differing bits never outnumber the differing words, allow it; exact Jaccard on the lines'
-words decides. As one earlier match is enough, a class is first decided against its earliest candidate of each word; only
+parity sketch, whose differing bits never outnumber the differing words, allow it; exact Jaccard on the lines' words decides.
+The sketch has 64 bits, or 256 between lines of LONG words and more, where random lines fill 64 bits. As one earlier match is enough, a class is first decided against its earliest candidate of each word; only
 classes that this leaves open go on, with 64 times the candidates, until all of them are used up. So a group of g near
 copies costs about g comparisons. A word of more than BLOCK classes is dealt out in pairs of blocks.
 
@@ -33,8 +33,10 @@ from grainmill.llm.words import Scan, mix
 
 LEAST, PERCENT, RARITY_BITS = 1, 80, 23
 BLOCK = 8192  # classes of a word that a task compares at once, or twice as many for a pair of blocks
+LONG = 64  # distinct words from which on a line has the wider sketch
 SMALL = 512  # classes of a word whose pairs are all compared in one sweep over many words
 _U = np.uint64
+_WIDE = ("wide_0", "wide_1", "wide_2")
 _SLOTS = 1 << 13  # counters that travel together
 
 
@@ -133,6 +135,12 @@ def _measure(shared, least: int, percent: int):
             cls, second = _hashed(words, size)
             sketch = np.zeros(len(lines), np.uint64)
             np.bitwise_xor.at(sketch, owner, _U(1) << (words & _U(63)))
+            wide = [np.zeros(len(lines), np.uint64) for _ in range(3)]  # the fourth part is what they leave of the sketch
+            big = np.flatnonzero(size[owner] >= LONG)
+            part = (words[big] >> _U(6)) & _U(3)
+            for k, own in enumerate(wide):
+                of = big[part == _U(k)]
+                np.bitwise_xor.at(own, owner[of], _U(1) << (words[of] & _U(63)))
             use = np.flatnonzero((size >= least) & (size > 0))
             new = np.zeros(len(use), bool)
             doc = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()[parent[use]]
@@ -159,7 +167,8 @@ def _measure(shared, least: int, percent: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").take(rows), "row": batch.column("row").take(rows), "place": pa.array(place[use], pa.int32()), "c": cls[use], "c2": second[use],
-                    "n": pa.array(n, pa.int32()), "sketch": sketch[use].view(np.int64), "prefix": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))),
+                    "n": pa.array(n, pa.int32()), "sketch": sketch[use].view(np.int64),
+                    **{name: own[use].view(np.int64) for name, own in zip(_WIDE, wide, strict=True)}, "prefix": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64))),
                 }
             )
 
@@ -174,7 +183,17 @@ def _allowed(n, at, m, to, differ, percent: int) -> np.ndarray:
     return fit & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.bitwise_count(differ.view(np.uint64)) <= total - 2 * need)
 
 
-_ROW = ("cell", "doc", "place", "c", "shape", "sketch", "open")  # shape: size and, in 8 bits, place of the word
+def _alike(n, m, differ, parts, percent: int) -> np.ndarray:
+    """Which pairs of sizes n, m the wider sketch lets through, by the differing bits of the narrow one and of the wider one's parts; all with a short line."""
+    total = n + m
+    last = differ.copy()
+    for p in parts:
+        last ^= p
+    bits = sum(np.bitwise_count(p.view(np.uint64)).astype(np.int64) for p in (*parts, last))
+    return (np.minimum(n, m) < LONG) | (bits <= total - 2 * -(-percent * total // (100 + percent)))
+
+
+_ROW = ("cell", "doc", "place", "c", "shape", "sketch", "open", *_WIDE)  # shape: size and, in 8 bits, place of the word
 
 
 def _cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
@@ -196,14 +215,20 @@ def _cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[l
 def _near(percent: int, width: int):
     """(a, b, more): for each open class b of a cell its `width` earliest candidates, and whether it has others."""
 
-    def earliest(n, at, sketch, open_, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    def passing(i, j, n, at, sketch, wide) -> np.ndarray:
+        """Which of the pairs (i, j) all filters let through, as places in i."""
+        ok = np.flatnonzero(_allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent))
+        i, j = i[ok], j if np.ndim(j) == 0 else j[ok]
+        return ok[_alike(n[i], n[j], sketch[i] ^ sketch[j], [w[i] ^ w[j] for w in wide], percent)]
+
+    def earliest(n, at, sketch, wide, open_, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(i, j) of the first width + 1 candidates j of each open i in a long cell."""
         left, need, found = np.arange(lo, hi)[open_[lo:hi]], np.full(hi - lo, width + 1), []
         for j in range(lo, hi):
             left = left[(left > j) & (need[left - lo] > 0)]
             if not len(left):
                 break
-            i = left[_allowed(n[left], at[left], n[j], at[j], sketch[left] ^ sketch[j], percent)]
+            i = left[passing(left, j, n, at, sketch, wide)]
             need[i - lo] -= 1
             found.append((i, np.full(len(i), j)))
         return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
@@ -215,11 +240,11 @@ def _near(percent: int, width: int):
             new = np.append(True, (part[0][1:] != part[0][:-1]) | (part[3][1:] != part[3][:-1]))  # of a class its earliest line
             part = [x[new] for x in part]
             by = np.lexsort((part[3], part[2], part[1], part[0]))
-            cell, _, _, c, shape, sketch, open_ = (x[by] for x in part)
+            cell, _, _, c, shape, sketch, open_, *wide = (x[by] for x in part)
             n, at = shape >> 8, shape & 255
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             length = np.diff(np.append(start, len(cell)))
-            found = [earliest(n, at, sketch, open_, int(s), int(s + k)) for s, k in zip(start[length > SMALL], length[length > SMALL], strict=True)]
+            found = [earliest(n, at, sketch, wide, open_, int(s), int(s + k)) for s, k in zip(start[length > SMALL], length[length > SMALL], strict=True)]
             left = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL), length))
             for step in range(1, SMALL):
                 left = left[left + step < len(cell)]
@@ -227,7 +252,7 @@ def _near(percent: int, width: int):
                 if not len(left):
                     break
                 j, i = left[open_[left + step]], left[open_[left + step]] + step
-                ok = _allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent)
+                ok = passing(i, j, n, at, sketch, wide)
                 found.append((i[ok], j[ok]))
             i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
             by = np.lexsort((j, i))
@@ -298,8 +323,8 @@ def _confirmed(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, odd: np.nd
 
 def _postings(lines: DataFrame) -> DataFrame:
     """A row for each word of a prefix: cell (the word, or one of a frequent word's pairs of blocks), doc, place, c, shape and sketch."""
-    each = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "place", "c", "n", "sketch", F.explode("prefix").alias("p"))
-    each = each.select(F.expr("p & ~255L").alias("cell"), "doc", F.col("place").cast("long").alias("place"), "c", (F.shiftleft(F.col("n").cast("long"), 8) + F.expr("p & 255L")).alias("shape"), "sketch")
+    each = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "place", "c", "n", "sketch", *_WIDE, F.explode("prefix").alias("p"))
+    each = each.select(F.expr("p & ~255L").alias("cell"), "doc", F.col("place").cast("long").alias("place"), "c", (F.shiftleft(F.col("n").cast("long"), 8) + F.expr("p & 255L")).alias("shape"), "sketch", *_WIDE)
     # only words that occur so often in all lines can have so many classes: their level, the top byte, says it
     least = 2 + int(8 * np.log2(BLOCK / 2)) - 1
     often = lines.select(F.explode(F.filter("prefix", lambda p: F.shiftrightunsigned(p, 56) >= least)).alias("p")).groupBy(F.expr("p & ~255L").alias("word")).count()
@@ -317,7 +342,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     known = spark.sparkContext.broadcast(rarity(docs, rarity_bits))
-    schema = "doc_id long, row long, place int, c long, c2 long, n int, sketch long, prefix array<long>"
+    schema = "doc_id long, row long, place int, c long, c2 long, n int, sketch long, wide_0 long, wide_1 long, wide_2 long, prefix array<long>"
     lines = written(texts.mapInArrow(_measure(known, least, percent), schema), "lines")
     odd = collisions(lines)
     if len(odd):
