@@ -8,9 +8,11 @@ Equal sets are one class, known by its first line. The words of a class are orde
 documents. Two sets that reach the threshold share a word among their first few (the prefix); words that occur once can't
 be it. Classes that share such a word are candidates if sizes (length filter), places of the word (positional filter) and a
 parity sketch, whose differing bits never outnumber the differing words, allow it; exact Jaccard on the lines' words decides.
-The sketch has 64 bits, or 256 between lines of LONG words and more, where random lines fill 64 bits. As one earlier match is enough, a class is first decided against its earliest candidate of each word; only
-classes that this leaves open go on, with 64 times the candidates, until all of them are used up. So a group of g near
-copies costs about g comparisons. A word of more than BLOCK classes is dealt out in pairs of blocks.
+The sketch has 64 bits, or 256 between lines of LONG words and more, where random lines fill 64 bits. As one earlier match is
+enough, one exchange finds the WIDTH earliest candidates of a class at each word, a class is decided against the first of
+each, and only if none matches against the others. Classes that have more candidates and no match yet go on, with 64 times
+as many, until all are used up; of the others only the cells of those are moved again. So a group of g near copies costs
+about g comparisons. A word of more than BLOCK classes is dealt out in pairs of blocks.
 
 Words are 64-bit hashes; a class is known by a 64-bit hash of its set, or by two where a second one shows that different
 sets share the first. Null texts stay null; a row without a doc_id counts as one of the least doc_id. Identical rows (doc_id
@@ -34,6 +36,7 @@ from grainmill.llm.words import Scan, mix
 LEAST, PERCENT, RARITY_BITS = 1, 80, 23
 BLOCK = 8192  # classes of a word that a task compares at once, or twice as many for a pair of blocks
 LONG = 64  # distinct words from which on a line has the wider sketch
+WIDTH = 16  # candidates of a class at a word that the first exchange finds
 SMALL = 512  # classes of a word whose pairs are all compared in one sweep over many words
 _U = np.uint64
 _WIDE = ("wide_0", "wide_1", "wide_2")
@@ -54,10 +57,13 @@ def _count(bits: int):
         for batch in chunks(batches):
             slots = (Scan(batch.column("text"), lower=True).words() & _U((1 << bits) - 1)).astype(np.int64)
             np.add.at(counts, slots, 1)
-        step = min(_SLOTS, 1 << bits)
-        for at in range(0, 1 << bits, step):
-            if counts[at : at + step].any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([at // step], pa.int32()), "counts": pa.array([counts[at : at + step].tobytes()], pa.binary())})
+        parts = counts.reshape(-1, min(_SLOTS, 1 << bits))
+        most = parts.max(1)
+        for few, kind in ((most < 1 << 16, np.uint16), (most >= 1 << 16, np.uint32)):  # in half the bytes where they fit
+            use = np.flatnonzero(few & (most > 0))
+            for at in range(0, len(use), 64):
+                which = use[at : at + 64]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(which, pa.int32()), "wide": pa.array([kind is np.uint32] * len(which)), "counts": pa.array([parts[k].astype(kind).tobytes() for k in which], pa.binary())})
 
     return run
 
@@ -72,8 +78,8 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, total = None, None
     for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(counts, np.uint32).astype(np.uint64)
+        for part, wide, counts in zip(*(batch.column(k).to_pylist() for k in ("part", "wide", "counts")), strict=True):
+            own = np.frombuffer(counts, np.uint32 if wide else np.uint16).astype(np.uint64)
             if part == now:
                 total += own
             else:
@@ -91,7 +97,7 @@ def rarity(docs: DataFrame, bits: int = RARITY_BITS) -> np.ndarray:
     (the same for all lines). The driver and each executor hold 2**bits bytes, whatever the input.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = docs.select("text").mapInArrow(_count(bits), "part int, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    counts = docs.select("text").mapInArrow(_count(bits), "part int, wide boolean, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     table = counts.mapInArrow(_levels, "part int, levels binary").toArrow()  # 2**bits bytes at most
     levels = np.zeros(1 << bits, np.uint8)
     for part, own in zip(table.column("part").to_pylist(), table.column("levels").to_pylist(), strict=True):
@@ -116,7 +122,13 @@ def _distinct(lines: pa.Array, levels: np.ndarray | None = None) -> tuple[np.nda
     key = words
     if levels is not None:
         key = (levels[(words & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << _U(56)) | (words >> _U(8))
-    by = np.lexsort((key, owner))
+    # the words come by line: one sort by line and the upper bits of the key, by both where these don't tell keys apart
+    left = _U(64 - int(owner[-1]).bit_length() if len(owner) else 64)
+    one = (owner.astype(np.uint64) << left) | (key >> (_U(64) - left)) if left < 64 else key
+    by = np.argsort(one)
+    same = one[by[1:]] == one[by[:-1]]
+    if (key[by[1:]][same] != key[by[:-1]][same]).any():
+        by = np.lexsort((key, owner))
     owner, key, words = owner[by], key[by], words[by]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
@@ -212,8 +224,31 @@ def _cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[l
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _earliest_first(part: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows that come by cell, by cell, doc, place and class, with the earliest line of a class in each cell."""
+    cell, doc, place, c = part[:4]
+    number = np.append(0, np.cumsum(cell[1:] != cell[:-1]))
+    low, bits = int(doc.min()), [int(x).bit_length() for x in (number[-1], int(doc.max()) - int(doc.min()), place.max())]
+    by = None
+    if sum(bits) < 64:  # one sort does where the three fit a number and tell the lines apart
+        one = (number << (bits[1] + bits[2])) | ((doc - low) << bits[2]) | place
+        by = np.argsort(one)
+        same = one[by[1:]] == one[by[:-1]]
+        if (c[by[1:]][same] != c[by[:-1]][same]).any():
+            by = None
+    by = np.lexsort((c, place, doc, cell)) if by is None else by
+    part = [x[by] for x in part]
+    where = np.cumsum(np.append(0, part[0][1:] != part[0][:-1])).astype(np.uint64)
+    mark = mix(part[3].view(np.uint64) + mix(where))
+    by = np.argsort(mark, kind="stable")
+    again = (mark[by[1:]] == mark[by[:-1]]) & (where[by[1:]] == where[by[:-1]]) & (part[3][by[1:]] == part[3][by[:-1]])
+    new = np.ones(len(mark), bool)
+    new[by[1:][again]] = False
+    return [x[new] for x in part]
+
+
 def _near(percent: int, width: int):
-    """(a, b, more): for each open class b of a cell its `width` earliest candidates, and whether it has others."""
+    """(a, b, later, more): for each open class b of a cell its `width` earliest candidates, whether a is a later one than the first, and whether b has others."""
 
     def passing(i, j, n, at, sketch, wide) -> np.ndarray:
         """Which of the pairs (i, j) all filters let through, as places in i."""
@@ -235,12 +270,8 @@ def _near(percent: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _cells(batches):
-            by = np.lexsort((part[2], part[1], part[3], part[0]))
-            part = [x[by] for x in part]
-            new = np.append(True, (part[0][1:] != part[0][:-1]) | (part[3][1:] != part[3][:-1]))  # of a class its earliest line
-            part = [x[new] for x in part]
-            by = np.lexsort((part[3], part[2], part[1], part[0]))
-            cell, _, _, c, shape, sketch, open_, *wide = (x[by] for x in part)
+            part = _earliest_first(part)
+            cell, _, _, c, shape, sketch, open_, *wide = part
             n, at = shape >> 8, shape & 255
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             length = np.diff(np.append(start, len(cell)))
@@ -255,12 +286,14 @@ def _near(percent: int, width: int):
                 ok = passing(i, j, n, at, sketch, wide)
                 found.append((i[ok], j[ok]))
             i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+            i, j = i[c[i] != c[j]], j[c[i] != c[j]]  # should two marks be equal
             by = np.lexsort((j, i))
             i, j = i[by], j[by]
             first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(i)))
-            keep = np.arange(len(i)) - np.repeat(first, count) < width
-            yield pa.RecordBatch.from_pydict({"a": c[j[keep]], "b": c[i[keep]], "more": np.repeat(count > width, count)[keep]})
+            rank = np.arange(len(i)) - np.repeat(first, count)
+            keep = rank < width
+            yield pa.RecordBatch.from_pydict({"a": c[j[keep]], "b": c[i[keep]], "later": rank[keep] > 0, "more": np.repeat(count > width, count)[keep]})
 
     return run
 
@@ -304,10 +337,10 @@ def _verify(percent: int):
     return run
 
 
-def _confirmed(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, odd: np.ndarray, percent: int, bits: int) -> DataFrame:
-    """b of the pairs (a, b) of classes that reach the threshold, as c."""
+def _confirmed(texts: DataFrame, firsts: DataFrame, near: DataFrame, odd: np.ndarray, percent: int, bits: int) -> DataFrame:
+    """b of the pairs (a, b, later) of classes that reach the threshold, as c; later ones are tried for those b that no other pair settles."""
     spark = texts.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = written(firsts.select("c", F.col("first.row").alias("row")).join(wanted, "c"), "wanted")
     shared = spark.sparkContext.broadcast((bitmap(wanted, "row", bits), bitmap(wanted, "c", bits)))
     released(spark)  # again: what a listener of the last query still held can go now
@@ -315,8 +348,17 @@ def _confirmed(texts: DataFrame, firsts: DataFrame, pairs: DataFrame, odd: np.nd
     sets = written(found.dropDuplicates(["c"]), "words")
     released(spark)
     one, two = (sets.select(F.col("c").alias(k), F.col("words").alias(f"words_{k}")) for k in "ab")
-    out = written(pairs.join(one, "a").join(two, "b").select("b", "words_a", "words_b").mapInArrow(_verify(percent), "b long").select(F.col("b").alias("c")).distinct(), "matched")
-    dropped(spark, wanted, sets)
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        out = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("b", "words_a", "words_b").mapInArrow(_verify(percent), "b long")
+        return written(out.select(F.col("b").alias("c")).distinct(), "matched")
+
+    out = matching(near.filter("not later"))
+    rest = written(near.filter("later").join(out.select(F.col("c").alias("b")), "b", "left_anti").select("a", "b").distinct(), "pairs")
+    released(spark)
+    if not rest.isEmpty():
+        out = out.unionByName(matching(rest))
+    dropped(spark, wanted, sets, rest)
     released(spark)
     return out
 
@@ -357,22 +399,23 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     firsts = written(lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     released(spark)
     each, parts = _postings(lines.filter(F.size("prefix") > 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, width, matched = each.withColumn("open", F.lit(True)), 1, None
+    rows, width, matched = each.withColumn("open", F.lit(True)), WIDTH, None
     while True:
-        near = rows.select(*_ROW).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_near(percent, width), "a long, b long, more boolean")
+        near = rows.select(*_ROW).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_near(percent, width), "a long, b long, later boolean, more boolean")
         near = written(near, "near")
         released(spark)
-        now = _confirmed(texts, firsts, near.select("a", "b").distinct(), odd, percent, bits)
+        now = _confirmed(texts, firsts, near, odd, percent, bits)
         matched = now if matched is None else matched.unionByName(now)
         left = written(near.filter("more").select(F.col("b").alias("c")).distinct().join(matched, "c", "left_anti"), "left")
-        dropped(spark, near, *([] if width == 1 else [rows]))
+        dropped(spark, near, *([] if width == WIDTH else [rows]))
         if left.isEmpty():
             break
         width *= 64
-        some = each.join(left, "c", "left_semi").select("cell").distinct()
+        some = written(each.join(left, "c", "left_semi").select("cell").distinct(), "some")  # as a table its size is known, so Spark need not move all rows to meet a few cells
         rows = each.join(some, "cell", "left_semi").join(left.withColumn("here", F.lit(True)), "c", "left").withColumn("open", F.col("here").isNotNull())
         # as a table: sorted straight from the joins, the same rows gave 466 of 1,040 open classes candidates, and all from a table
         rows = written(rows.select(*_ROW), "rows")
+        dropped(spark, some)
     all_, firsts = firsts, firsts.join(matched.distinct().withColumn("hit", F.lit(True)), "c", "left").filter("copies > 1 or hit")  # the others lose no line
     firsts = written(firsts, "classes")
     # classes of more than a hundred-thousandth of all lines, at most so many, are joined by broadcast: no task gets them whole

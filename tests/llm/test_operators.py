@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grainmill.llm import decontaminate, language_id, line_dedup, partenum, pii, quality_rules, sentence_piece, token_file, url_filter, warc
@@ -262,6 +263,33 @@ def test_lines_that_only_a_later_candidate_matches(spark):
     assert 10 < len(gone) < 58 and all(got[i].text == ("" if gone[i] else t) and (got[i]._doc, got[i]._hash) == (1, "a") for i, t, _ in rows)
 
 
+def test_one_exchange_finds_the_candidates(spark, monkeypatch):
+    """Lines whose earliest candidates fail are settled without moving their cells again."""
+    rounds, near = [], line_dedup._near
+    monkeypatch.setattr(line_dedup, "WIDTH", 64, raising=False)
+    monkeypatch.setattr(line_dedup, "_near", lambda percent, width: rounds.append(width) or near(percent, width))
+    r = random.Random(12)
+    texts = []
+    for _ in range(60):
+        w = [f"w{k}" for k in range(300)]
+        for k in r.sample(range(300), r.randint(10, 45)):
+            w[k] = f"x{r.randint(0, 99)}"
+        texts.append(" ".join(w))
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    gone = brute_lines(rows, least=1)
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert len(rounds) == 1 and got == {i: "" if gone[i] else t for i, t, _ in rows}
+
+
+def test_rare_words_are_counted_beyond_16_bits():
+    batch = pa.RecordBatch.from_pydict({"text": ["often " * 70_000 + "twice twice once"]})
+    counts = list(line_dedup._count(14)(iter([batch])))
+    total = np.sort(np.concatenate([np.frombuffer(x, np.uint32 if w else np.uint16) for b in counts for w, x in zip(b.column("wide").to_pylist(), b.column("counts").to_pylist(), strict=True)]))
+    assert total[-3:].tolist() == [1, 2, 70_000]
+    levels = np.concatenate([np.frombuffer(x, np.uint8) for b in line_dedup._levels(iter(counts)) for x in b.column("levels").to_pylist()])
+    assert sorted(levels[levels > 0].tolist()) == [1, 2, 2 + int(8 * np.log2(35_000))]
+
+
 def test_registered_line_dedup_takes_short_lines(spark, tmp_path):
     from grainmill.llm import queries
 
