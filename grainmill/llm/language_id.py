@@ -4,8 +4,8 @@ A profile lists the most frequent 1- to 3-grams of a language's learning documen
 frequent n-grams are compared with each profile: every n-gram counts how far out of place it stands, one that the
 profile lacks counts `size`. The nearest profile wins, ties go to the language that sorts first.
 
-Learning takes at most `sample` documents of each language, those with the least hash of doc_id (the documented bound);
-everything else covers all rows. Predictions see the text alone. Null text and text without a letter give `und` and
+Learning and the least scores of reject() take every learning document, unless `sample` asks for at most so many of each
+language, those with the least hash of doc_id. Predictions see the text alone. Null text and text without a letter give `und` and
 score 0, as does any text when nothing could be learned. Repeated rows each get their row; an empty table gives an
 empty result; further columns are ignored or, by `reject`, kept as they are.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import chunks, written
+from grainmill.llm.common import chunks, dropped, written
 
 SIZE = 300
 UNKNOWN = "und"
@@ -87,9 +87,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _lessons(docs: DataFrame, sample: int) -> DataFrame:
-    """lang, doc_id and text of the learning documents."""
+def _lessons(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """lang, doc_id and text of the learning documents, all of them or at most `sample` a language."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    if sample is None:
+        return known
     # hashes spread evenly, so those below 4 * sample / n hold the least `sample` of a language's n documents and about 4 times
     # as many: no task ranks a whole language; should a language have too few below it, it learns from those
     near = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
@@ -102,21 +104,25 @@ def _lessons(docs: DataFrame, sample: int) -> DataFrame:
     return known.join(F.broadcast(chosen) if small else chosen, ["lang", "doc_id"], "left_semi")
 
 
-def learn(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Profiles:
+def learn(docs: DataFrame, *, size: int = SIZE, sample: int | None = None) -> Profiles:
     """Profiles of every lang value among documents that aren't held out. The driver gets `size` rows a language."""
     few = _lessons(docs, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
         for batch in chunks(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                codes, counts = np.unique(grams(text), return_counts=True)
-                for code, n in zip(codes.tolist(), counts.tolist(), strict=True):
-                    found[lang, code] += n
-            if len(found) > 200_000:
-                yield _counted(found)
-                found.clear()
-        yield _counted(found)
+                own = np.unique(grams(text), return_counts=True)
+                found.setdefault(lang, []).append(own)
+                held += len(own[0])
+            if held > 2_000_000:
+                found = {lang: [_summed(own)] for lang, own in found.items()}
+                held = sum(len(own[0][0]) for own in found.values())
+                if held > 1_000_000:
+                    yield from _counted(found)
+                    found, held = {}, 0
+        yield from _counted(found)
 
     totals = few.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -126,8 +132,21 @@ def learn(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> Profiles:
     return Profiles(lists, size)
 
 
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "code": pa.array([k[1] for k in found], pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    codes, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    by = np.argsort(codes)
+    codes, counts = codes[by], counts[by]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
+
+
+def _counted(found: dict[str, list[tuple[np.ndarray, np.ndarray]]], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for lang, own in found.items():
+        codes, counts = _summed(own)
+        for at in range(0, len(codes), most):
+            code, n = codes[at : at + most].view(np.int64), counts[at : at + most]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "code": code, "n": pa.array(n, pa.int64())})
 
 
 def _predict(profiles: Profiles, keep: list[str]):
@@ -139,25 +158,74 @@ def _predict(profiles: Profiles, keep: list[str]):
     return run
 
 
-def language_id(docs: DataFrame, *, size: int = SIZE, sample: int = 1000) -> DataFrame:
+def language_id(docs: DataFrame, *, size: int = SIZE, sample: int | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     out = docs.select("doc_id", "text").mapInArrow(_predict(learn(docs, size=size, sample=sample), ["doc_id"]), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def least_scores(docs: DataFrame, profiles: Profiles, *, sample: int = 1000, enough: int = 20, reach: float = 3.0, width: float = 0.1) -> dict[str, float]:
+def least_scores(docs: DataFrame, profiles: Profiles, *, sample: int | None = None, enough: int = 20, reach: float = 3.0, width: float = 0.1) -> dict[str, float]:
     """Of each language, the score below which a text is far from its learning documents.
 
     It lies `reach` times the distance of the quartiles, at least `width`, below the lower quartile of the scores of the
     learning documents that are told rightly; a language of fewer than `enough` such documents takes that of all languages.
     """
     told = _lessons(docs, sample).select("lang", "text").mapInArrow(_predict(profiles, ["lang"]), "lang string, lang_pred string, score double").filter("lang = lang_pred")
-    rows = told.rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()  # a row a language
-    found = {r.lang: r.q[0] - max(width, reach * (r.q[1] - r.q[0])) for r in rows if r.n >= enough}
-    return {lang: found.get(lang, found.get(None, 0.0)) for lang in profiles.langs}
+    told = written(told.select("lang", "score"), "scores")
+    found = _quartiles(told)
+    dropped(docs.sparkSession, told)
+    low = {lang: one - max(width, reach * (three - one)) for lang, (n, one, three) in found.items() if n >= enough}
+    return {lang: low.get(lang, low.get(None, 0.0)) for lang in profiles.langs}
+
 
+BINS = 1 << 12
 
-def reject(docs: DataFrame, *, least_score: float = 0.05, size: int = SIZE, sample: int = 1000) -> DataFrame:
+
+def _quartiles(told: DataFrame) -> dict[str | None, tuple[int, float, float]]:
+    """Of each lang, and of all as None: how many scores, and their exact lower and upper quartile (interpolated).
+
+    Counts by bin come first, then the scores of the bins that hold the ranks next to a quartile. The driver gets BINS rows a
+    language and then the distinct scores of at most four bins each, a few thousand, as a score is a ratio of small whole numbers.
+    """
+    bin_ = F.floor(F.col("score") * BINS).cast("int")
+    counted = told.groupBy("lang", bin_.alias("bin")).count().collect()
+    bins: dict[str | None, Counter] = {}
+    for r in counted:
+        for lang in (r.lang, None):
+            bins.setdefault(lang, Counter())[r.bin] += r["count"]
+    ranks = {lang: [int(q * (own.total() - 1)) for q in (0.25, 0.75)] for lang, own in bins.items()}
+    asked: dict[str | None, dict[int, int]] = {}  # bins with a wanted rank, and the rank at which each begins
+    for lang, own in bins.items():
+        at = 0
+        for b, n in sorted(own.items()):
+            if any(at <= k < at + n for rank in ranks[lang] for k in (rank, rank + 1)):
+                asked.setdefault(lang, {})[b] = at
+            at += n
+    want = sorted({b for own in asked.values() for b in own})
+    values: dict[tuple[str | None, int], Counter] = {}
+    for r in told.filter(bin_.isin(want)).groupBy("lang", "score", bin_.alias("bin")).count().collect() if want else ():
+        for lang in (r.lang, None):
+            values.setdefault((lang, r.bin), Counter())[r.score] += r["count"]
+
+    def score(lang: str | None, rank: int) -> float:
+        b, at = max(((b, at) for b, at in asked[lang].items() if at <= rank), key=lambda x: x[1])
+        for value, n in sorted(values[lang, b].items()):
+            at += n
+            if rank < at:
+                return value
+        raise AssertionError("a rank beyond the bin that was counted to hold it")
+
+    out = {}
+    for lang, own in bins.items():
+        n, got = own.total(), []
+        for q, rank in zip((0.25, 0.75), ranks[lang], strict=True):
+            one, two = score(lang, rank), score(lang, min(rank + 1, n - 1))
+            got.append(one + (q * (n - 1) - rank) * (two - one))
+        out[lang] = (n, *got)
+    return out
+
+
+def reject(docs: DataFrame, *, least_score: float = 0.05, size: int = SIZE, sample: int | None = None) -> DataFrame:
     """The documents, with all their columns, whose language could be told: not `und`, and scored at least as least_scores() asks of it, or least_score if that is more."""
     profiles = learn(docs, size=size, sample=sample)
     judge = profiles.predict

@@ -73,6 +73,26 @@ def test_lessons_are_bounded_and_spread(spark):
     assert {x.lang: x["count"] for x in learned} == {"en": 100, "de": sum(language_id.crc_fold(5000 + i) != 1 for i in range(5))}
 
 
+def test_all_learning_documents_count(spark):
+    """Profiles and least scores come from every learning document, however many a language has."""
+    rows = [(i, "ab ac" if i % 5 else "xy xz", "en") for i in range(4000)] + [(9000, None, "en")]
+    used = [t for i, t, _ in rows[:4000] if language_id.crc_fold(i) != 1]
+    assert language_id._lessons(table(spark, rows)).count() == len(used)
+    total = Counter()
+    for t in used:
+        codes, counts = np.unique(language_id.grams(t), return_counts=True)
+        total.update(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
+    want = sorted(total, key=lambda c: (-total[c], c))[: language_id.SIZE]
+    profiles = language_id.learn(table(spark, rows))
+    assert [int(profiles.codes[k]) for k in np.argsort(profiles.ranks[0, :-1])] == want
+    r = random.Random(3)
+    scores = {"en": [r.random() ** 3 for _ in range(3001)], "de": [0.25, 0.5, 1.0], "fr": [0.125] * 7}
+    told = spark.createDataFrame([(lang, x) for lang, own in scores.items() for x in own], "lang string, score double")
+    scores[None] = [x for own in list(scores.values()) for x in own]
+    got = language_id._quartiles(told)
+    assert got.keys() == scores.keys() and all(got[k][0] == len(own) and np.allclose(got[k][1:], np.quantile(own, [0.25, 0.75]), 0, 1e-12) for k, own in scores.items())
+
+
 def brute_template(text):
     words = []
     for w in split(text, lower=False):
