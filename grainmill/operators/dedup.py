@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.functions.batches import chunks
+from grainmill.functions.hashed import mix
+from grainmill.functions.signatures import Bands, bound, collisions, keys, runs, sets, signatures, sketches
 from grainmill.functions.text import normalize, shingles, text, words
-from grainmill.plans.storage import stored
+from grainmill.plans.storage import dropped, released, stored
 from grainmill.schema import lists
 
 PREFIX, SHINGLE, THRESHOLD = 2000, 3, 0.85
 PERMUTATIONS, BANDS, ROWS = 128, 16, 8
+SKETCH_BITS = 1024
 
 
 def comparable(messages: Column | None = None) -> Column:
@@ -71,25 +79,102 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
-    """(a, b, similarity) of all pairs of distinct texts at the threshold, by a join on the rarest shingles of each set.
+    """(a, b, similarity) of all pairs of distinct texts at the threshold, by signatures of which such a pair shares one.
 
-    Equal sets are joined through one of them. The shingles are ordered by how many sets hold them; two sets that reach
-    the threshold share one of the first size - ceil(threshold * size) + 1. A prefix of None compares whole texts.
+    Equal sets are joined through one of them. Shingles are 64-bit hashes, sets are known by 128 bits. A prefix of None
+    compares whole texts. Signatures travel alone; the sets only of those that share one.
     """
-    sets = stored(shingled(df, size, prefix))
-    one = stored(sets.groupBy(F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256).alias("key")).agg(F.min(F.struct("seq", "id")).alias("first"), F.first("sh").alias("sh")))
-    counts = one.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    ranked = one.select("key", F.size("sh").alias("m"), F.explode("sh").alias("s")).join(counts.filter("n > 1"), "s", "left")
-    # a shingle of one set alone takes a place in the prefix but can't be shared
-    prefix = ranked.groupBy("key", "m").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "s"))).alias("order"))
-    prefix = prefix.select("key", "m", F.explode(F.slice("order", F.lit(1), F.greatest(F.lit(1), (F.col("m") - F.ceil(F.col("m") * threshold) + 1).cast("int")))).alias("o")).filter("o.n > 1").select("key", "m", F.col("o.s").alias("s"))
-    other = prefix.select(F.col("key").alias("k2"), F.col("m").alias("m2"), "s")
-    near = prefix.join(other, "s").filter((F.col("key") < F.col("k2")) & (F.least("m", "m2") >= threshold * F.greatest("m", "m2"))).select("key", "k2").distinct()
-    x, y = one.select("key", F.col("sh").alias("x")), one.select(F.col("key").alias("k2"), F.col("sh").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = near.join(x, "key").join(y, "k2").withColumn("similarity", both / (F.size("x") + F.size("y") - both)).filter(F.col("similarity") >= threshold).select("key", "k2", "similarity")
-    name = one.select("key", F.col("first.id").alias("id"))
-    return links.join(name.withColumnRenamed("id", "a"), "key").join(name.select(F.col("key").alias("k2"), F.col("id").alias("b")), "k2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    percent = int(threshold * 100 + 1e-9)  # candidates of at least that; the exact similarity decides
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a threshold from 0.01 to 1 is needed, not {threshold}")
+    bands = Bands(percent)
+    t = normalize(comparable())
+    plain = df.select("id", "seq", F.array_join(words(t if prefix is None else F.left(t, F.lit(prefix))), " ").alias("text"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            _, features, n = sets(batch.column("text"), size)
+            batch = pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("id", "seq", "text")), *(pa.array(x) for x in keys(features, n))], ["id", "seq", "text", "c", "c2"])
+            yield batch.filter(pa.array(n > 0))
+
+    kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
+    texts = stored(plain.mapInArrow(measure, f"id {kinds['id']}, seq {kinds['seq']}, text string, c long, c2 long"))
+    odd = collisions(texts)
+    if len(odd):
+
+        def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                one, two = (batch.column(k).to_numpy().view(np.uint64) for k in ("c", "c2"))
+                yield batch.set_column(3, "c", pa.array(np.where(np.isin(one.view(np.int64), odd), mix(one + mix(two)).view(np.int64), one.view(np.int64))))
+
+        texts = stored(texts.mapInArrow(renamed, texts.schema))
+    released(spark := df.sparkSession)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            owner, features, n = sets(batch.column("text"), size)
+            c = batch.column("c").to_numpy()
+            new = np.zeros(len(c), bool)
+            new[np.unique(c, return_index=True)[1]] = True  # copies in a batch sign once
+            mine = new[owner]
+            row, signs = signatures(owner[mine], features[mine], np.where(new, n, 0), bands)
+            for at in range(0, len(row), 200_000):
+                yield pa.RecordBatch.from_pydict({"sig": signs[at : at + 200_000].view(np.int64), "c": c[row[at : at + 200_000]]})
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = texts.select("c", "text").mapInArrow(sign, "sig long, c long").repartition(parts, "sig").sortWithinPartitions("sig", "c")
+    members = stored(signed.mapInArrow(runs, "sig long, c long, leader long").select("sig", "c"))
+    released(spark)
+    # of buckets with the same members one is enough
+    print_ = (F.count(F.lit(1)), F.min("c"), F.max("c"), F.bit_xor(F.xxhash64("c")), F.bit_xor(F.xxhash64("c", F.lit(1))))
+    print_ = [x.alias(f"h{k}") for k, x in enumerate(print_)]
+    once = members.groupBy("sig").agg(*print_).groupBy(*(f"h{k}" for k in range(len(print_)))).agg(F.min("sig").alias("sig")).select("sig")
+    some = stored(members.join(once, "sig"))
+    near = some.join(some.select("sig", F.col("c").alias("c2")), "sig").filter("c < c2").select("c", "c2").distinct()
+    near = stored(near)
+    dropped(members, some)
+    released(spark)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            owner, features, n = sets(batch.column("text"), size)
+            raw = [features[to - k : to].tobytes() for to, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "n": pa.array(n, pa.int64()), "sketch": pa.array(sketches(owner, features, len(n), SKETCH_BITS), pa.binary()), "sh": pa.array(raw, pa.binary())})
+
+    wanted = near.select(F.explode(F.array("c", "c2")).alias("c")).distinct()
+    held = stored(texts.select("c", "text").join(wanted, "c", "left_semi").dropDuplicates(["c"]).mapInArrow(drawn, "c long, n long, sketch binary, sh binary"))
+    name = stored(texts.select("c", "seq", "id").join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("seq", "id")).alias("first")).select("c", F.col("first.id").alias("id")))
+    dropped(texts)
+    released(spark)
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in ("x", "y"))
+                differ = np.bitwise_count(one ^ two).sum(-1)
+                yield batch.filter(pa.array(differ <= bound(batch.column("n").to_numpy(), batch.column("n2").to_numpy(), percent))).select(["c", "c2"])
+
+    # sizes and sketches first: most pairs go by them, and no set is moved for those
+    two = held.select(F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("y"))
+    likely = near.join(held.select("c", "n", F.col("sketch").alias("x")), "c").join(two, "c2").select("c", "c2", "n", "n2", "x", "y")
+    likely = stored(likely.mapInArrow(plausible, "c long, c2 long"))
+    dropped(near)
+    released(spark)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                score.append(both / (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("c2"), pa.array(score, pa.float64())], ["c", "c2", "similarity"])
+
+    links = likely.join(held.select("c", F.col("sh").alias("x")), "c").join(held.select(F.col("c").alias("c2"), F.col("sh").alias("y")), "c2").select("c", "c2", "x", "y")
+    links = stored(links.mapInArrow(compare, "c long, c2 long, similarity double").filter(F.col("similarity") >= threshold))
+    dropped(held, likely)
+    released(spark)
+    return links.join(name.withColumnRenamed("id", "a"), "c").join(name.select(F.col("c").alias("c2"), F.col("id").alias("b")), "c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def classes(df: DataFrame, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:

@@ -86,6 +86,41 @@ def test_exact_and_near_duplicates(spark):
     assert sorted(r.id for r in dedup.without(df, dedup.find_duplicates(df, 0.8)).collect()) == ["r0", "r3", "r4"]
 
 
+def test_exact_pairs_equal_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    texts, vocabulary = [], [f"w{k}" for k in range(400)]
+    for _ in range(60):
+        t = [r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 5, 12, 40, 200]))]
+        texts.append(t)
+        for _ in range(r.randint(0, 4)):
+            copy = list(r.choice(texts))
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            texts.append(copy)
+    df = records(spark, *({"messages": [("user", ",  ".join(t).upper())]} for t in [*texts, []]))
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(frozenset(tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))), f"r{k}")
+    for threshold in (0.5, 0.8, 0.855, 1.0):
+        want = {(min(a, b), max(a, b)): len(x & y) / len(x | y) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) / len(x | y) >= threshold}
+        got = {(p.a, p.b): p.similarity for p in dedup.exact_pairs(df, threshold, prefix=None).collect()}
+        assert len(got) == len(want), (sorted(got.keys() - want.keys()), sorted(want.keys() - got.keys()))
+        assert got == want and (len(want) > 10 or threshold > 0.5)
+
+
+def test_exact_pairs_write_about_their_input(spark, tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(9)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(400)) for _ in range(300)]
+    texts += [t + " end" for t in texts]
+    monkeypatch.setattr(dedup, "stored", lambda df, n=iter(range(100)): (df.write.parquet(p := str(tmp_path / str(next(n)))), spark.read.parquet(p))[1])
+    assert dedup.exact_pairs(records(spark, *({"messages": [("user", t)]} for t in texts)), prefix=None).count() == 300
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file()) < 3 * sum(map(len, texts))
+
+
 def test_near_duplicates_of_whole_texts(spark, tmp_path):
     from grainmill.plans import queries
 
