@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.batches import chunks, utf8  # noqa: F401
+from grainmill.functions.batches import chunks, trimmed, utf8  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:

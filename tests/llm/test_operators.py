@@ -3,9 +3,12 @@ import hashlib
 import io
 import random
 import re
+import subprocess
+import sys
 import zipfile
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -281,6 +284,29 @@ def test_one_exchange_finds_the_candidates(spark, monkeypatch):
     assert len(rounds) == 1 and got == {i: "" if gone[i] else t for i, t, _ in rows}
 
 
+def test_a_task_gives_its_memory_back():
+    """A worker that stays between tasks keeps little of what a task has freed."""
+    code = """if True:
+        import os
+        import pyarrow as pa
+        from grainmill.functions.batches import chunks
+        def rss():
+            return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+        batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+        before = rss()
+        def rows():
+            held = [bytearray(50_000) for _ in range(4000)]
+            keep.append(held[-1])
+            del held
+            yield batch
+        keep = []
+        list(chunks(rows()))
+        print(rss() - before)
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(out.stdout) < 60
+
+
 def test_rare_words_are_counted_beyond_16_bits():
     batch = pa.RecordBatch.from_pydict({"text": ["often " * 70_000 + "twice twice once"]})
     counts = list(line_dedup._count(14)(iter([batch])))
