@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bitmap, chunks, dropped, marked, released, written
+from grainmill.llm.common import bitmap, chunks, dropped, marked, released, trimmed, written
 from grainmill.llm.partenum import collisions, totals
 from grainmill.llm.words import Scan, mix
 
@@ -37,7 +37,9 @@ LEAST, PERCENT, RARITY_BITS = 1, 80, 23
 BLOCK = 8192  # classes of a word that a task compares at once, or twice as many for a pair of blocks
 LONG = 64  # distinct words from which on a line has the wider sketch
 WIDTH = 16  # candidates of a class at a word that the first exchange finds
-SMALL = 512  # classes of a word whose pairs are all compared in one sweep over many words
+GROUP = 1 << 18  # postings of the cells that a task holds at once, or those of one cell
+SMALL = 512  # classes of a word whose pairs of like size are all compared, for many words at once
+CHUNK = 1 << 19  # bytes of text that are handled at once: arrays of this size are used again, not mapped anew
 _U = np.uint64
 _WIDE = ("wide_0", "wide_1", "wide_2")
 _SLOTS = 1 << 13  # counters that travel together
@@ -54,9 +56,9 @@ def split_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             slots = (Scan(batch.column("text"), lower=True).words() & _U((1 << bits) - 1)).astype(np.int64)
-            np.add.at(counts, slots, 1)
+            np.add.at(counts, slots, np.uint32(1))  # of the same type: else numpy takes tens of times as long
         parts = counts.reshape(-1, min(_SLOTS, 1 << bits))
         most = parts.max(1)
         for few, kind in ((most < 1 << 16, np.uint16), (most >= 1 << 16, np.uint32)):  # in half the bytes where they fit
@@ -140,7 +142,7 @@ def _measure(shared, least: int, percent: int):
         levels = shared.value
         # a task sends a class to the join once, and again for an earlier line, so copies don't fill the exchange
         seen: dict[int, list[int]] = {}
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             lines, parent, place = split_lines(batch.column("text"))
             owner, words, key = _distinct(lines, levels)
             size = np.bincount(owner, minlength=len(lines))
@@ -160,7 +162,7 @@ def _measure(shared, least: int, percent: int):
                 if c not in seen or here < seen[c]:
                     seen[c] = here
                     new[k] = True
-            if len(seen) > 1_000_000:
+            if len(seen) > 250_000:  # some 70 MB
                 seen.clear()
             n = size[use]
             length = n - (percent * n + 99) // 100 + 1
@@ -206,22 +208,142 @@ def _alike(n, m, differ, parts, percent: int) -> np.ndarray:
 
 
 _ROW = ("cell", "doc", "place", "c", "shape", "sketch", "open", *_WIDE)  # shape: size and, in 8 bits, place of the word
+_PLANES = 48  # bytes of a packed row: cell, doc, place with the open flag, c, shape and sketch
+
+
+def _packed(rows: list[np.ndarray], cells: np.ndarray, shape: np.ndarray, of: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Postings as one block of bytes for each group of cells: all first bytes, all second ones and so on, without those that are zero.
+
+    rows: doc, place, c, sketch, open and the wide sketch of each line; of: each posting's line.
+    """
+    doc, place, c, sketch, open_, *wide = rows
+    place = (place << 1) | open_
+    # by group and then by the upper bytes of the cell, which so repeat
+    group = mix(cells.view(np.uint64)) % _U(groups)
+    by = np.argsort((group << _U(40)) | (cells.view(np.uint64) >> _U(24)) if groups < 1 << 24 else group)
+    group = group[by].astype(np.int64)
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(by) else np.zeros(0, np.int64)
+    ends, blocks, at = np.append(start[1:], len(by)), [], 0
+    while at < len(start):  # many groups at once, but few postings
+        to = max(at + 1, int(np.searchsorted(ends, start[at] + (1 << 15), "right")))
+        here = by[start[at] : ends[to - 1]]
+        line = of[here]
+        table = np.stack([cells[here], doc[line], place[line], c[line], shape[here], sketch[line]], axis=1)
+        large = np.stack([w[line] for w in wide], axis=1)
+        long_ = table[:, 4] >> 8 >= LONG
+        for k in range(at, to):
+            own = slice(start[k] - start[at], ends[k] - start[at])
+            planes = np.ascontiguousarray(table[own].view(np.uint8).T)
+            used = planes.any(1)
+            blocks.append(b"".join((np.packbits(used).tobytes(), planes.shape[1].to_bytes(4, "little"), planes[used].tobytes(), large[own][long_[own]].tobytes())))
+        at = to
+    return pa.RecordBatch.from_pydict({"group": pa.array(group[start], pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    """The columns _ROW of a block."""
+    head = _PLANES // 8
+    used, n = np.unpackbits(np.frombuffer(block, np.uint8, head)) > 0, int.from_bytes(block[head : head + 4], "little")
+    planes = np.zeros((_PLANES, n), np.uint8)
+    own = int(used.sum()) * n
+    planes[used] = np.frombuffer(block, np.uint8, own, head + 4).reshape(-1, n)
+    cell, doc, place, c, shape, sketch = np.ascontiguousarray(planes.T).view(np.int64).T
+    wide = np.zeros((n, len(_WIDE)), np.int64)
+    wide[shape >> 8 >= LONG] = np.frombuffer(block, np.int64, -1, head + 4 + own).reshape(-1, len(_WIDE)) if len(block) > head + 4 + own else 0
+    return [cell, doc, place >> 1, c, shape, sketch, (place & 1) > 0, *wide.T]
+
+
+def _gathered(parts: Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]], groups: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """(group, block) of postings that come as arguments of _packed(), so many at once."""
+
+    def out() -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(h[0][0]) for h in held)])
+        of = np.concatenate([h[3] + np.int32(e) for h, e in zip(held, ends, strict=False)])
+        return _packed([np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), of, groups)
+
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[1])
+        if n >= most:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+    held.clear()
+    trimmed()
+
+
+def _pack_rows(groups: int):
+    """(group, block) of rows with the columns _ROW."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                cell, doc, place, c, shape, sketch, open_, *wide = (batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW)
+                yield [doc, place, c, sketch, open_, *wide], cell, shape, np.arange(len(cell), dtype=np.int32)
+
+        return _gathered(parts(), groups)
+
+    return run
+
+
+def _pack_lines(groups: int, often: np.ndarray, blocks: np.ndarray):
+    """(group, block) of the postings of lines, all open; the frequent words (sorted) are dealt out in pairs of so many blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch in batches:
+                doc, place, c, size, sketch, *wide = (batch.column(k).fill_null(-(1 << 63) if k == "doc_id" else 0).to_numpy() for k in ("doc_id", "place", "c", "n", "sketch", *_WIDE))
+                rows = [doc, place.astype(np.int64), c, sketch, np.ones(len(c), bool), *wide]
+                prefix = batch.column("prefix")
+                of, word = pc.list_parent_indices(prefix).to_numpy().astype(np.int32), prefix.flatten().to_numpy()
+                cell, shape = word & ~255, (size.astype(np.int64)[of] << 8) | (word & 255)
+                spot = np.minimum(np.searchsorted(often, cell), max(len(often) - 1, 0))
+                split = often[spot] == cell if len(often) else np.zeros(len(cell), bool)
+                yield rows, cell[~split], shape[~split], of[~split]
+                left = np.flatnonzero(split)
+                while len(left):
+                    ends = np.cumsum(blocks[spot[left]])
+                    some = max(1, int(np.searchsorted(ends, 1 << 18, "right")))
+                    here, left = left[:some], left[some:]
+                    times = blocks[spot[here]]
+                    other = np.arange(ends[some - 1]) - np.repeat(ends[:some] - times, times)
+                    own = np.repeat((mix(c[of[here]].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64), times)
+                    pair = (np.minimum(own, other) << 32) | np.maximum(own, other)
+                    cells = mix(np.repeat(cell[here], times).view(np.uint64) + mix(pair.view(np.uint64) + _U(1))).view(np.int64)
+                    yield rows, cells, np.repeat(shape[here], times), np.repeat(of[here], times)
+
+        return _gathered(parts(), groups)
+
+    return run
 
 
 def _cells(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
-    """Whole cells, many at once, of rows sorted by cell."""
-    held: list[list[np.ndarray]] = []
+    """Whole cells, many at once, of blocks sorted by group."""
+
+    def out(held: list[bytes]) -> Iterator[list[np.ndarray]]:
+        parts = [np.concatenate(x) for x in zip(*map(_unpacked, held), strict=True)]
+        by = np.argsort(parts[0])
+        cell = parts[0][by]
+        ends, at = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)), 0
+        while at < len(cell):
+            to = int(ends[np.searchsorted(ends, min(at + rows, len(cell)))])  # a cell may be longer than that
+            yield [x[by[at:to]] for x in parts]
+            at = to
+
+    now, held = None, []
     for batch in batches:
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW])
-        if sum(len(h[0]) for h in held) >= rows:
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = int(np.searchsorted(parts[0], parts[0][-1]))
-            held = [[x[cut:] for x in parts]]
-            rows = max(rows, 2 * len(held[0][0]))  # a cell may be longer than that
-            if cut:
-                yield [x[:cut] for x in parts]
-    if held and sum(len(h[0]) for h in held):
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        for group, block in zip(batch.column("group").to_pylist(), batch.column("block"), strict=True):
+            if group != now and held:
+                yield from out(held)
+                held = []
+            now = group
+            held.append(block.as_py())
+    if held:
+        yield from out(held)
+    held.clear()
+    trimmed()
 
 
 def _earliest_first(part: list[np.ndarray]) -> list[np.ndarray]:
@@ -252,9 +374,30 @@ def _near(percent: int, width: int):
 
     def passing(i, j, n, at, sketch, wide) -> np.ndarray:
         """Which of the pairs (i, j) all filters let through, as places in i."""
-        ok = np.flatnonzero(_allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent))
+        total = n[i] + n[j]
+        ok = np.flatnonzero(np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= total - 2 * -(-percent * total // (100 + percent)))  # most fail by this
         i, j = i[ok], j if np.ndim(j) == 0 else j[ok]
-        return ok[_alike(n[i], n[j], sketch[i] ^ sketch[j], [w[i] ^ w[j] for w in wide], percent)]
+        fit = np.flatnonzero(_allowed(n[i], at[i], n[j], at[j], sketch[i] ^ sketch[j], percent))
+        i, j = i[fit], j if np.ndim(j) == 0 else j[fit]
+        return ok[fit[_alike(n[i], n[j], sketch[i] ^ sketch[j], [w[i] ^ w[j] for w in wide], percent)]]
+
+    def alike_in_size(n, start, length) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j), the later and the earlier one, of the pairs in short cells that the length filter lets through, so many at once."""
+        number = np.repeat(np.arange(len(start)), length)
+        use = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL), length))
+        by = use[np.lexsort((n[use], number[use]))]
+        number, size = number[by], n[by]
+        step = int(size.max()) + 1 if len(by) else 1
+        key = number * step + size
+        ends = np.searchsorted(key, number * step + np.minimum(100 * size // percent, step - 1), "right")
+        count = ends - np.arange(len(by)) - 1
+        sums, lo = np.append(0, np.cumsum(count)), 0
+        while lo < len(by):
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 16), "right")) - 1)
+            one = np.repeat(np.arange(lo, hi), count[lo:hi])
+            two = one + 1 + np.arange(len(one)) - np.repeat(sums[lo:hi] - sums[lo], count[lo:hi])
+            yield np.maximum(by[one], by[two]), np.minimum(by[one], by[two])
+            lo = hi
 
     def earliest(n, at, sketch, wide, open_, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """(i, j) of the first width + 1 candidates j of each open i in a long cell."""
@@ -276,13 +419,8 @@ def _near(percent: int, width: int):
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             length = np.diff(np.append(start, len(cell)))
             found = [earliest(n, at, sketch, wide, open_, int(s), int(s + k)) for s, k in zip(start[length > SMALL], length[length > SMALL], strict=True)]
-            left = np.flatnonzero(np.repeat((length > 1) & (length <= SMALL), length))
-            for step in range(1, SMALL):
-                left = left[left + step < len(cell)]
-                left = left[cell[left] == cell[left + step]]
-                if not len(left):
-                    break
-                j, i = left[open_[left + step]], left[open_[left + step]] + step
+            for i, j in alike_in_size(n, start, length):
+                i, j = i[open_[i]], j[open_[i]]
                 ok = passing(i, j, n, at, sketch, wide)
                 found.append((i[ok], j[ok]))
             i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
@@ -303,7 +441,7 @@ def _words(shared, odd: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks = shared.value
-        for batch in chunks(b.filter(pa.array(marked(rows, b.column("row").to_numpy()))) for b in batches):
+        for batch in chunks((b.filter(pa.array(marked(rows, b.column("row").to_numpy()))) for b in batches), most=CHUNK):
             lines, _, _ = split_lines(batch.column("text"))
             owner, words, _ = _distinct(lines)
             size = np.bincount(owner, minlength=len(lines))
@@ -363,14 +501,18 @@ def _confirmed(texts: DataFrame, firsts: DataFrame, near: DataFrame, odd: np.nda
     return out
 
 
-def _postings(lines: DataFrame) -> DataFrame:
-    """A row for each word of a prefix: cell (the word, or one of a frequent word's pairs of blocks), doc, place, c, shape and sketch."""
-    each = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "place", "c", "n", "sketch", *_WIDE, F.explode("prefix").alias("p"))
-    each = each.select(F.expr("p & ~255L").alias("cell"), "doc", F.col("place").cast("long").alias("place"), "c", (F.shiftleft(F.col("n").cast("long"), 8) + F.expr("p & 255L")).alias("shape"), "sketch", *_WIDE)
+def _often(lines: DataFrame) -> DataFrame:
+    """word, blocks of the words that more than BLOCK lines have in their prefixes."""
     # only words that occur so often in all lines can have so many classes: their level, the top byte, says it
     least = 2 + int(8 * np.log2(BLOCK / 2)) - 1
     often = lines.select(F.explode(F.filter("prefix", lambda p: F.shiftrightunsigned(p, 56) >= least)).alias("p")).groupBy(F.expr("p & ~255L").alias("word")).count()
-    often = written(often.filter(F.col("count") > BLOCK).select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "often")
+    return written(often.filter(F.col("count") > BLOCK).select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "often")
+
+
+def _postings(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """A row for each word of a prefix: cell (the word, or one of a frequent word's pairs of blocks), doc, place, c, shape and sketch."""
+    each = lines.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "place", "c", "n", "sketch", *_WIDE, F.explode("prefix").alias("p"))
+    each = each.select(F.expr("p & ~255L").alias("cell"), "doc", F.col("place").cast("long").alias("place"), "c", (F.shiftleft(F.col("n").cast("long"), 8) + F.expr("p & 255L")).alias("shape"), "sketch", *_WIDE)
     if often.isEmpty():
         return each
     own = F.expr("cast(pmod(xxhash64(c), blocks) as int)")
@@ -398,16 +540,26 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
     here = F.struct("doc_id", "place", "row")
     firsts = written(lines.groupBy("c").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     released(spark)
-    each, parts = _postings(lines.filter(F.size("prefix") > 0)), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, width, matched = each.withColumn("open", F.lit(True)), WIDTH, None
+    ruled, parts = lines.filter(F.size("prefix") > 0), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    often = _often(ruled)
+    each = _postings(ruled, often)
+    total = (ruled.agg(F.sum(F.size("prefix"))).first()[0] or 0) + (often.agg(F.sum(F.expr(f"{BLOCK}L * blocks * blocks"))).first()[0] or 0)
+    groups = parts * max(1, -(-total // (parts * GROUP)))
+    block = "group int, block binary"
+    if often.count() <= 1_000_000:  # of so many words, tasks know each
+        table = often.sort("word").toArrow()
+        packed = ruled.select("doc_id", "place", "c", "n", "sketch", *_WIDE, "prefix").mapInArrow(_pack_lines(groups, table.column("word").to_numpy(), table.column("blocks").to_numpy().astype(np.int64)), block)
+    else:
+        packed = each.withColumn("open", F.lit(True)).select(*_ROW).mapInArrow(_pack_rows(groups), block)
+    width, matched, rows = WIDTH, None, None
     while True:
-        near = rows.select(*_ROW).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_near(percent, width), "a long, b long, later boolean, more boolean")
+        near = packed.repartitionById(parts, F.col("group") % parts).sortWithinPartitions("group").mapInArrow(_near(percent, width), "a long, b long, later boolean, more boolean")
         near = written(near, "near")
         released(spark)
         now = _confirmed(texts, firsts, near, odd, percent, bits)
         matched = now if matched is None else matched.unionByName(now)
         left = written(near.filter("more").select(F.col("b").alias("c")).distinct().join(matched, "c", "left_anti"), "left")
-        dropped(spark, near, *([] if width == WIDTH else [rows]))
+        dropped(spark, near, *([] if rows is None else [rows]))
         if left.isEmpty():
             break
         width *= 64
@@ -415,6 +567,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, least: int = LEAST
         rows = each.join(some, "cell", "left_semi").join(left.withColumn("here", F.lit(True)), "c", "left").withColumn("open", F.col("here").isNotNull())
         # as a table: sorted straight from the joins, the same rows gave 466 of 1,040 open classes candidates, and all from a table
         rows = written(rows.select(*_ROW), "rows")
+        packed = rows.mapInArrow(_pack_rows(groups), block)
         dropped(spark, some)
     all_, firsts = firsts, firsts.join(matched.distinct().withColumn("hit", F.lit(True)), "c", "left").filter("copies > 1 or hit")  # the others lose no line
     firsts = written(firsts, "classes")

@@ -284,6 +284,45 @@ def test_one_exchange_finds_the_candidates(spark, monkeypatch):
     assert len(rounds) == 1 and got == {i: "" if gone[i] else t for i, t, _ in rows}
 
 
+def test_postings_travel_packed():
+    """A posting of a short line takes 30 bytes at most, and all come back with their cells whole."""
+    r = np.random.default_rng(1)
+    n = 20_000
+    for large, most in ((0, 30), (9, 60)):
+        size = r.integers(1, 60, n) + large * r.integers(0, 30, n)
+        wide = [np.where(size >= line_dedup.LONG, r.integers(-(1 << 62), 1 << 62, n), 0) for _ in range(3)]
+        rows = [r.integers(0, 1 << 22, n), r.integers(0, 99, n), r.integers(-(1 << 62), 1 << 62, n), r.integers(-(1 << 62), 1 << 62, n), r.random(n) < 0.5, *wide]
+        of = np.repeat(np.arange(n, dtype=np.int32), 7)
+        cells = r.integers(0, 1 << 54, len(of)) << 8
+        cells[::5] = cells[0]
+        shape = (size[of] << 8) | r.integers(1, 8, len(of))
+        batch = line_dedup._packed(rows, cells, shape, of, 13)
+        assert sum(map(len, batch.column("block").to_pylist())) <= most * len(of) and batch.num_rows == 13
+        got = list(line_dedup._cells(iter([batch]), 1000))
+        assert sum(len(np.unique(p[0])) for p in got) == len(np.unique(cells))
+        doc, place, c, sketch, open_, *wide = (x[of] for x in rows)
+        want = np.stack([x.astype(np.int64) for x in (cells, doc, place, c, shape, sketch, open_, *wide)])
+        back = np.stack([np.concatenate([p[k].astype(np.int64) for p in got]) for k in range(len(want))])
+        assert (back[:, np.lexsort(back)] == want[:, np.lexsort(want)]).all()
+
+
+def test_pairs_of_like_size_are_all_compared():
+    """The pairs of a cell are those of a plain loop, whichever of the two is the longer one."""
+    r = np.random.default_rng(2)
+    n = 300
+    size, doc = r.integers(1, 12, n), r.permutation(n)
+    rows = [doc, np.zeros(n, np.int64), np.arange(n), r.integers(0, 4, n), r.random(n) < 0.7, *(np.zeros(n, np.int64) for _ in range(3))]
+    cells = r.integers(0, 5, n) << 8
+    batch = line_dedup._packed(rows, cells, (size << 8) | 1, np.arange(n, dtype=np.int32), 2)
+    got = {(a, b) for x in line_dedup._near(80, 1000)(iter([batch])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+    one = [np.array([x]) for x in (1,)]
+    want = {
+        (a, b) for a in range(n) for b in range(n)
+        if doc[a] < doc[b] and cells[a] == cells[b] and rows[4][b] and line_dedup._allowed(size[[b]], one[0], size[[a]], one[0], (rows[3][[a]] ^ rows[3][[b]]), 80)[0]
+    }
+    assert got == want and len(want) > 100
+
+
 def test_a_task_gives_its_memory_back():
     """A worker that stays between tasks keeps little of what a task has freed."""
     code = """if True:
