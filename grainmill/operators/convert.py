@@ -207,7 +207,7 @@ def _tools(v: Column) -> Column:
 
 def convert(rows: DataFrame, format: str = "unknown", project_id: str = "", mapping: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, errors): errors have seq, raw and what is wrong. `unknown` takes each row by its own format; mapping gives source fields of an alpaca layout."""
-    # the ids bar the optimizer from inlining what parses and builds a row into each of its uses
+    # an id bars the optimizer from inlining what parses and builds a row into each of its uses, as long as something reads it: the last filter does
     barred = F.monotonically_increasing_id().alias("_row")
     rows = rows.select("seq", "raw", F.try_parse_json("raw").alias("_v"), barred)
     rows = rows.select("*", (_format(F.col("_v")) if format == "unknown" else F.lit(format)).alias("_kind"), F.monotonically_increasing_id().alias("_again"))
@@ -249,5 +249,6 @@ def convert(rows: DataFrame, format: str = "unknown", project_id: str = "", mapp
     )
     reasoned = F.when(F.col("format").isin("openai-messages", "sharegpt", "alpaca"), _reasoned(F.col("messages"), F.col("_thought"))).otherwise(F.col("messages"))
     out = out.withColumns({"error": error, "messages": reasoned, "_row": F.monotonically_increasing_id()})
-    good = out.filter("error is null").select(F.sha2(F.concat_ws("|", "seq", "raw"), 256).alias("id"), F.lit(project_id).alias("project_id"), "seq", "type", "messages", "chosen", "rejected", "completion", "label", "answer", "tools")
-    return examples(good), out.filter("error is not null").select("seq", "raw", F.concat(F.lit("Row "), F.col("seq").cast("string"), F.lit(": "), "error").alias("error"))
+    made = F.col("_row") >= 0  # of every row; without it the filter would be moved to the scan, with all of the above in it hundreds of times
+    good = out.filter(made & F.col("error").isNull()).select(F.sha2(F.concat_ws("|", "seq", "raw"), 256).alias("id"), F.lit(project_id).alias("project_id"), "seq", "type", "messages", "chosen", "rejected", "completion", "label", "answer", "tools")
+    return examples(good), out.filter(made & F.col("error").isNotNull()).select("seq", "raw", F.concat(F.lit("Row "), F.col("seq").cast("string"), F.lit(": "), "error").alias("error"))

@@ -206,6 +206,19 @@ def test_conversion(spark):
     assert [r.error for r in bad.collect()] == ["Row 2: a message without a known role or content"]
 
 
+def test_conversion_parses_a_row_once(spark, tmp_path):
+    from grainmill.plans import queries
+
+    spark.createDataFrame([(1, "some text", "en", "web"), (2, " ", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (queries.convert_alpaca, queries.convert_dpo):
+        df = query(spark, str(tmp_path))
+        assert [r.seq for r in df.collect()] == [1]
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    _, bad = convert(raw(spark, {"instruction": "i", "output": " "}))
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
+    assert [r.error for r in bad.collect()] == ["Row 0: a message without a known role or content"]
+
+
 def test_exports(spark, tmp_path):
     df = records(spark, {"type": "preference", "messages": [("system", "s"), ("user", "q")], "chosen": [("assistant", "good")], "rejected": [("assistant", "bad")]}, {"messages": [("user", "q"), ("assistant", "a")], "split": "test", "tools": [{"name": "f", "parameters": '{"type": "object"}'}]})
     line = lambda *a, **k: json.loads(rows(df, Export(*a, **k)).first().line)
