@@ -17,7 +17,7 @@ from grainmill.plans.storage import dropped, released, stored
 from grainmill.schema import lists
 
 PREFIX, SHINGLE, THRESHOLD = 2000, 3, 0.85
-PERMUTATIONS, BANDS, ROWS = 128, 16, 8
+PERMUTATIONS = 128
 SKETCH_BITS = 1024
 
 
@@ -62,26 +62,10 @@ def signature(sh: Column, n: int = PERMUTATIONS) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda seed: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, seed))))
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) that agree in a band of the signature, all pairs of every band value; equal sets should be one row."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
-    rows = stored(sets.withColumn("sig", signature(F.col("sh"))).select("id", "seq", F.posexplode(bands).alias("band", "value")))
-    other = rows.select("band", "value", F.col("id").alias("b"), F.col("seq").alias("s2"))
-    return rows.join(other, ["band", "value"]).filter(F.struct("seq", "id") < F.struct("s2", "b")).select(F.col("id").alias("a"), "b").distinct()
+def _exact_links(df: DataFrame, threshold: float, size: int, prefix: int | None) -> tuple[DataFrame, DataFrame]:
+    """(texts, links): id, seq and class c of each record with a word, and (c, c2, similarity) of all pairs of classes at the threshold.
 
-
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact Jaccard reaches the threshold."""
-    one, two = sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold)
-
-
-def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
-    """(a, b, similarity) of all pairs of distinct texts at the threshold, by signatures of which such a pair shares one.
-
-    Equal sets are joined through one of them. Shingles are 64-bit hashes, sets are known by 128 bits. A prefix of None
+    Equal sets are one class. Shingles are 64-bit hashes, sets are known by 128 bits. A prefix of None
     compares whole texts. Signatures travel alone; the sets only of those that share one.
     """
     percent = int(threshold * 100 + 1e-9)  # candidates of at least that; the exact similarity decides
@@ -143,7 +127,7 @@ def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE
 
     wanted = near.select(F.explode(F.array("c", "c2")).alias("c")).distinct()
     held = stored(texts.select("c", "text").join(wanted, "c", "left_semi").dropDuplicates(["c"]).mapInArrow(drawn, "c long, n long, sketch binary, sh binary"))
-    name = stored(texts.select("c", "seq", "id").join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("seq", "id")).alias("first")).select("c", F.col("first.id").alias("id")))
+    known = stored(texts.select("id", "seq", "c"))
     dropped(texts)
     released(spark)
 
@@ -174,6 +158,17 @@ def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE
     links = stored(links.mapInArrow(compare, "c long, c2 long, similarity double").filter(F.col("similarity") >= threshold))
     dropped(held, likely)
     released(spark)
+    return known, links
+
+
+def exact_pairs(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
+    """(a, b, similarity) of all pairs of distinct texts at the threshold, by signatures of which such a pair shares one.
+
+    Equal sets are joined through the first of them.
+    """
+    known, links = _exact_links(df, threshold, size, prefix)
+    wanted = links.select(F.explode(F.array("c", "c2")).alias("c")).distinct()
+    name = known.join(wanted, "c", "left_semi").groupBy("c").agg(F.min(F.struct("seq", "id")).alias("first")).select("c", F.col("first.id").alias("id"))
     return links.join(name.withColumnRenamed("id", "a"), "c").join(name.select(F.col("c").alias("c2"), F.col("id").alias("b")), "c2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
@@ -202,19 +197,19 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 
 def near_groups(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:
-    """id, keep_id and similarity (the least of the group's passing edges) of each record in a group of near duplicates, by MinHash LSH.
+    """id, keep_id and similarity (the least of the group's passing edges) of each record in a group of near duplicates, of all pairs at the threshold.
 
-    Equal sets are compared through the first of them, so a group of copies costs no pairs. A prefix of None compares whole texts.
+    Equal sets are compared through one of them, so a group of copies costs no pairs. A prefix of None compares whole texts.
+    Records without an id are left out; a group has two ids at least.
     """
-    sets = stored(shingled(df, size, prefix).withColumn("key", F.sha2(F.array_join(F.array_sort("sh"), "\n"), 256)))
-    one = stored(sets.groupBy("key").agg(F.min(F.struct("seq", "id")).alias("first"), F.first("sh").alias("sh")).select("key", "first.id", "first.seq", "sh"))
-    copies = sets.select("key", F.col("id").alias("b")).join(one.select("key", F.col("id").alias("a")), "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
-    links = stored(similar(candidate_pairs(one), one, threshold).unionByName(copies))
-    labels = stored(components(links))
-    least = links.join(labels, links.a == labels.node).groupBy("label").agg(F.min("similarity").alias("similarity"))
-    members = labels.join(sets.select(F.col("id").alias("node"), "seq"), "node")
-    keep = members.groupBy("label").agg(F.min_by("node", F.struct("seq", "node")).alias("keep_id"))
-    return members.join(keep, "label").join(least, "label").select(F.col("node").alias("id"), "keep_id", "similarity")
+    known, links = _exact_links(df.filter("id is not null"), threshold, size, prefix)
+    labels = stored(components(links.select(F.col("c").alias("a"), F.col("c2").alias("b"))))
+    least = links.join(labels, links.c == labels.node).groupBy("label").agg(F.min("similarity").alias("similarity"))
+    linked = labels.join(least, "label").select(F.col("node").alias("c"), "label", "similarity")
+    # a class without a link is a group by its copies alone
+    members = stored(known.join(linked, "c", "left").select("id", "seq", F.coalesce("label", "c").alias("label"), F.coalesce("similarity", F.lit(1.0)).alias("similarity")))
+    keep = members.groupBy("label").agg(F.min_by("id", F.struct("seq", "id")).alias("keep_id"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("label", "keep_id")
+    return members.join(keep, "label").select("id", "keep_id", "similarity")
 
 
 def find_duplicates(df: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, prefix: int | None = PREFIX) -> DataFrame:

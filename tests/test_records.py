@@ -143,6 +143,33 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert got == {f"r{i}": ("r1", 92 / 104) for i in range(1, 69)}
 
 
+def test_near_groups_equal_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    texts, vocabulary = [], [f"w{k}" for k in range(300)]
+    for _ in range(40):
+        t = [r.choice(vocabulary) for _ in range(r.choice([1, 3, 40, 60]))]
+        texts.append(t)
+        for _ in range(r.randint(0, 4)):
+            texts.append(copy := list(r.choice(texts)))
+            for _ in range(r.randint(0, 4)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+    sets = [frozenset(tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))) for t in texts]
+    edges = [(i, j, len(x & y) / len(x | y)) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if len(x & y) / len(x | y) >= 0.5]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, j, _ in edges:
+            group[i] = group[j] = min(group[i], group[j])
+    want = {}
+    for i, j, similarity in edges:
+        for k in (i, j):
+            want[f"r{k}"] = (f"r{group[k]}", min(similarity, *(s for a, _, s in edges if group[a] == group[k])))
+    df = records(spark, *({"messages": [("user", " ".join(t))]} for t in [*texts, []]))
+    got = {r.id: (r.keep_id, r.similarity) for r in dedup.near_groups(df, 0.5, prefix=None).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_longest_then_leftmost_window(spark):
     items = spark.createDataFrame([("b", "a b c d e"), ("b", "k l m n o p q"), ("b", "x y")], "benchmark string, text string")
     df = records(spark, {"messages": [("user", "a b c d e and K, l m n o p q")]}, {"messages": [("user", "x y")]})
