@@ -80,7 +80,12 @@ def sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def signatures(owner: np.ndarray, features: np.ndarray, size: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of each set's parts, over its instances."""
+    """(row, signature) of the k + 1 parts of each set with the most features, over its instances.
+
+    Two sets that differ in at most k features have all parts but k in common, empty ones included. Of as many parts in one
+    order for all sets, here by features and then by signature, their first k + 1 share one then (the prefix filter). Parts
+    of one feature or none, which many unlike sets have in common, come last.
+    """
     first, last = bands.instances(size)
     rows, signs = [], []
     for step in range(int((last - first).max(initial=0)) + 1):
@@ -97,14 +102,13 @@ def signatures(owner: np.ndarray, features: np.ndarray, size: np.ndarray, bands:
         slot = base[who] + part.astype(np.int64)
         total = np.zeros(int(parts.sum()), np.uint64)
         np.add.at(total, slot, mix(what + _SEED[2]))
-        full = np.zeros(len(total), bool)
-        full[slot] = True
         row = np.repeat(np.arange(len(size)), parts)
         number = np.arange(len(total)) - base[row]
-        few = np.bincount(row[full], minlength=len(size)) <= bands.k[np.minimum(instance, len(bands.k) - 1)]
-        out = full | few[row]
+        sign = mix(total + mix(number.astype(np.uint64) + instance[row].astype(np.uint64) * _SEED[3]))
+        order = np.lexsort((sign, -np.bincount(slot, minlength=len(total)), row))  # rows stay in place, so number is the rank within a row
+        out = number <= bands.k[np.minimum(instance, len(bands.k) - 1)][row]
         rows.append(row[out])
-        signs.append(mix(total[out] + mix(number[out].astype(np.uint64) + instance[row[out]].astype(np.uint64) * _SEED[3])))
+        signs.append(sign[order[out]])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(rows), np.concatenate(signs)

@@ -3,9 +3,9 @@
 Equal sets become one class first. Sizes fall into bands; the instance of a band joins all pairs whose larger set lies
 in it, so a set takes part in the instances of its own size and of the largest partner it may have. Within an
 instance, two sets that reach the threshold differ in at most k features. The feature domain is hashed into more than k
-parts, of which at least one must agree: the content of each non-empty part is a signature. A set with no more than k
-non-empty parts also signs its empty ones, so no pair is lost: were all agreeing parts of a pair empty, both sets would
-have so few.
+parts, of which at least one must agree: the content of a part is a signature. As all but k parts agree, a set signs only
+its first k + 1 in an order that is the same for all sets: parts with many features before those with one or none, which
+many unlike sets share. No pair is lost by that (the prefix filter).
 
 Pairs that share a signature are candidates. An odd sketch (a parity bitmap, whose differing bits never outnumber the
 differing features) rules most false ones out, and exact Jaccard on the texts decides. First each class is compared
@@ -309,7 +309,7 @@ def jaccard_join(docs: DataFrame, *, words: int = 5, percent: int = 80, bits: in
             if open_cells.isEmpty():
                 break
             refused = open_cells if refused is None else written(refused.join(open_cells.select(cell).distinct(), cell, "left_semi").unionByName(open_cells), "refused")
-            width *= 4
+            width *= 32  # after the first links nearly all pairs left are refused, and each round moves the open cells again
     dropped(spark, cells)
     named = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("label", "c").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -133,6 +133,26 @@ def test_token_files(spark):
     assert token_file.token_ids(table(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_signatures_are_few_and_shared():
+    import numpy as np
+    from grainmill.functions.signatures import Bands, signatures
+
+    r, bands = np.random.default_rng(4), Bands(80)
+    hot = r.integers(1, 2**63, 2, dtype=np.uint64)  # features that all sets share
+    pairs = []
+    for n in [*range(1, 60), 90, 200, 1000] * 3:
+        base = np.concatenate((hot[: n // 2], r.integers(1, 2**63, n, dtype=np.uint64)))
+        drop = int(len(base) * r.uniform(0, 0.2))  # what is left reaches 80 %
+        pairs += [base, base[drop:]]
+    size = np.array([len(x) for x in pairs])
+    row, sign = signatures(np.repeat(np.arange(len(pairs)), size), np.concatenate(pairs), size, bands)
+    first, last = bands.instances(size)
+    most = np.array([sum(int(bands.k[j]) + 1 for j in range(a, b + 1) if bands.k[j]) for a, b in zip(first, last, strict=True)])
+    assert (np.bincount(row, minlength=len(pairs)) <= most).all()
+    own = [set(sign[row == k].tolist()) for k in range(len(pairs))]
+    assert all(own[k] & own[k + 1] for k in range(0, len(pairs), 2) if size[k] != size[k + 1])
+
+
 def brute_components(rows, words, percent):
     def features(t):
         w = split(t)
